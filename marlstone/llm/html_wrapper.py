@@ -10,8 +10,8 @@ union-free and each slot is known by its path of tags.
 
 Slots then are main text or not, once for the host: what lies in menus, headers, footers, asides,
 forms, adverts, notices or comments isn't (told by tag, role, class or id), nor is template text
-outside the article, nor a slot that is mostly links; of the rest the article or main element is
-kept, and where a host has neither, the group with the most text. A page's texts go by the slots
+outside the article, nor a slot that is mostly links; of the rest those of the article or
+main element are kept, and where a host has neither, all. A page's texts go by the slots
 of its host's wrapper; a path that the wrapper lacks is judged on the page by the same rules.
 
 The sample is bounded (``SAMPLE`` pages of a host, the smallest hashes, distinct content only);
@@ -60,7 +60,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form m
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar sidenav footer masthead "
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
-    "login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets search form copyright".split()
+    "announcement disclaimer legal discussion responses feedback promoted login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets search form copyright".split()
 )
 HEADER_NAMES = frozenset(["header", "topbar"])
 ARTICLES = ("article", "main")
@@ -313,18 +313,8 @@ def slots(wrapper: list[Item], pages: int) -> dict[str, bool]:
 
 
 def _main(good: dict[str, list]) -> set[str]:
-    """Of the candidates (path -> characters, linked, bad, in an article, template, tags) those of the main group."""
-    inside = {k for k, v in good.items() if v[3]}
-    if inside:
-        return inside
-    weight: dict[tuple, int] = {}
-    for v in good.values():
-        for depth in range(len(v[5])):
-            weight[v[5][:depth]] = weight.get(v[5][:depth], 0) + v[0]
-    total = weight.get((), 0)
-    # the deepest element that holds most of the text
-    top = max((p for p, w in weight.items() if w >= 0.6 * total), key=len, default=())
-    return {k for k, v in good.items() if v[5][: len(top)] == top}
+    """Of the candidate slots (see slots) those in an article or main element, or all if there is none."""
+    return {k for k, v in good.items() if v[3]} or set(good)
 
 
 def text_of(page: str | None, known: dict[str, bool] | None) -> str:
