@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["marlstone.plans.ppi"]
+MODULES = ["marlstone.plans.ppi", "marlstone.plans.models", "marlstone.plans.text"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
