@@ -84,24 +84,38 @@ def _sweep(moves: DataFrame, values: DataFrame, averaged: bool, gamma: float) ->
 def solve(transitions: DataFrame, gamma: float = 1.0, sweeps: int = 200) -> DataFrame:
     """(s, v) by value iteration in one plan, for a state space that fits in one row (a stated, checked 4096 states).
 
-    The transitions are packed by state and swept in the JVM; no job, shuffle or Python a sweep.
+    With a column prob the values are those of that policy instead of the best. The transitions
+    are packed by state and swept in the JVM; no job, shuffle or Python a sweep.
     """
     n = transitions.agg(F.max("s")).first()[0]
     if n is None or n > 4095:
         raise ValueError("solve() is for at most 4096 states; sweep_values() has no limit")
-    packed = transitions.groupBy("s").agg(F.collect_list(F.struct("t", "reward")).alias("m")).agg(F.array_sort(F.collect_list(F.struct("s", "m"))).alias("rows"))
-    best = lambda vs: F.transform("rows", lambda row: F.array_max(F.transform(row["m"], lambda x: x["reward"] + gamma * F.coalesce(F.get(vs, x["t"]), F.lit(0.0)))))
-    out = packed.withColumn("v", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.transform("rows", lambda r: F.lit(0.0)), lambda acc, _: best(acc)))
+    averaged = "prob" in transitions.columns
+    move = F.struct("t", "reward", *(["prob"] if averaged else []))
+    packed = transitions.groupBy("s").agg(F.collect_list(move).alias("m")).agg(F.array_sort(F.collect_list(F.struct("s", "m"))).alias("rows"))
+
+    def swept(v):
+        q = lambda x: x["reward"] + gamma * F.coalesce(F.get(v, x["t"]), F.lit(0.0))
+        if averaged:
+            return F.transform("rows", lambda row: F.aggregate(row["m"], F.lit(0.0), lambda acc, x: acc + x["prob"] * q(x)))
+        return F.transform("rows", lambda row: F.array_max(F.transform(row["m"], q)))
+
+    out = packed.withColumn("v", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.transform("rows", lambda r: F.lit(0.0)), lambda acc, _: swept(acc)))
     return out.select(F.inline(F.arrays_zip(F.transform("rows", lambda r: r["s"]).alias("s"), "v")))
 
 
-def policy_iteration(transitions: DataFrame, gamma: float = 1.0, theta: float = THETA, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(values, policy): evaluate, improve, until the policy stays."""
+def policy_iteration(transitions: DataFrame, gamma: float = 1.0, most: int = 50, evaluate=None) -> tuple[DataFrame, DataFrame]:
+    """(values, policy): evaluate, improve, until the policy stays.
+
+    evaluate: transitions with prob -> values; packed sweeps by default, for more states than
+    those hold lambda t: sweep_values(t, t.select("s", "action", "prob")).
+    """
+    evaluate = evaluate or (lambda t: solve(t, gamma))
     n = transitions.select("action").distinct().count()
     policy = transitions.select("s", "action").distinct().withColumn("prob", F.lit(1.0 / n))
     held = None
     for _ in range(most):
-        values = sweep_values(transitions, policy, gamma, theta)
+        values = cut(evaluate(transitions.join(policy, ["s", "action"])), "values")
         better = cut(greedy(q_values(transitions, values, gamma)), "policy")
         now = better.agg(F.sum(F.xxhash64("s", "action").cast("decimal(20,0)"))).first()[0]
         if now == held:
