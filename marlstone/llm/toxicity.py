@@ -11,6 +11,8 @@ of the id); scoring reads every text whole, in one pass without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 
-SAMPLE = {"toxic": 3000, "clean": 9000}  # labelled rows to learn from, at most
-SAMPLE_BYTES = 96 << 20  # and their text
+SAMPLE = {"toxic": 2500, "clean": 7500}  # labelled rows to learn from, at most
+SAMPLE_BYTES = 48 << 20  # and their text
 PREFIXES = (4, 5, 6)
 FEATURES = 4096
 LEAST = 3  # documents that a feature must occur in
@@ -44,19 +46,33 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(ids)
 
 
-def _pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    data, at = W.utf8(pa.array(texts, pa.string()))
-    rows, ids = [], []
-    for lo, hi in W.groups(at):
-        d, f = features(data, at[lo : hi + 1])
+def bags(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The sorted distinct features of each text, a megabyte of texts at a time."""
+    out: list[np.ndarray] = []
+    held: list[str] = []
+
+    def flush() -> None:
+        data, at = W.utf8(pa.array(held, pa.string()))
+        d, f = features(data, at)
         order = np.lexsort((f, d))
         d, f = d[order], f[order]
         first = np.ones(len(d), bool)
         first[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1])
-        rows.append(d[first] + lo)
-        ids.append(f[first])
+        d, f = d[first], f[first]
+        out.extend(x.copy() for x in np.split(f, np.searchsorted(d, np.arange(1, len(held)))))
+        held.clear()
+
+    size = 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size > W.PIECE:
+            flush()
+            size = 0
+    if held:
+        flush()
     W.forget()
-    return (np.concatenate(rows), np.concatenate(ids)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return out
 
 
 class Ordinal:
@@ -83,12 +99,15 @@ class Ordinal:
         return out
 
 
-def chosen(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray, most: int = FEATURES, least: int = LEAST) -> np.ndarray:
+def chosen(found: list[np.ndarray], toxic: np.ndarray, most: int = FEATURES, least: int = LEAST) -> np.ndarray:
     """The features whose presence tells the classes apart best, by their G statistic."""
-    uniq, inverse = np.unique(ids, return_inverse=True)
+    none = [np.zeros(0, np.uint64)]
+    u1, k1 = np.unique(np.concatenate(none + [f for f, t in zip(found, toxic, strict=True) if t]), return_counts=True)
+    u0, k0 = np.unique(np.concatenate(none + [f for f, t in zip(found, toxic, strict=True) if not t]), return_counts=True)
+    uniq = np.union1d(u1[k1 >= -(-least // 2)], u0[k0 >= -(-least // 2)])
+    of = lambda u, k: np.where(u[i := np.minimum(np.searchsorted(u, uniq), len(u) - 1)] == uniq, k[i], 0) if len(u) else np.zeros(len(uniq))
+    c1, c0 = of(u1, k1).astype(float), of(u0, k0).astype(float)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    c1 = np.bincount(inverse, toxic[rows], len(uniq))
-    c0 = np.bincount(inverse, ~toxic[rows], len(uniq))
     seen = c1 + c0
     rate, all_rate = seen / (n1 + n0), (n1 / (n1 + n0), n0 / (n1 + n0))
     part = lambda o, x: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(x, 1e-12)), 0)
@@ -126,22 +145,22 @@ def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, width: int, grade
     return p[:width], np.concatenate([p[width : width + 1], p[width] + np.cumsum(np.exp(p[width + 1 :]))])
 
 
-def learn(texts: list[str | None], toxic: list[bool], grade: list[int] | None = None, grades: int = GRADES) -> Ordinal:
+def learn(texts: Iterable[str | None], toxic: list[bool], grade: list[int] | None = None, grades: int = GRADES) -> Ordinal:
     """Fit on labelled texts. grade: 0 for clean, 1.. for toxic ones by severity.
 
     Where there are no grades they are derived: a toxic text with more telling features than
     the median toxic text (for three grades; other quantiles for more) has the higher grade.
+    texts may be an iterator that fills toxic and grade as it goes.
     """
+    found = bags(texts)
     toxic = np.array(toxic, bool)
-    rows, ids = _pairs(texts)
-    keys = chosen(rows, ids, toxic) if len(rows) and toxic.any() and not toxic.all() else np.zeros(0, np.uint64)
+    keys = chosen(found, toxic) if toxic.any() and not toxic.all() else np.zeros(0, np.uint64)
     if not len(keys):
         return Ordinal(keys, np.zeros(0), np.full(grades - 1, 30.0))
-    k = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
-    hit = keys[k] == ids
-    r, c = rows[hit], k[hit]
+    cols = [np.flatnonzero(np.isin(keys, f, assume_unique=True)) for f in found]
+    told = np.array([len(x) for x in cols])
+    r, c = np.repeat(np.arange(len(cols)), told), np.concatenate(cols)
     if grade is None:
-        told = np.bincount(r, minlength=len(toxic))
         cuts = np.quantile(told[toxic], np.arange(1, grades - 1) / (grades - 1))
         grade = np.where(toxic, 1 + np.searchsorted(cuts, told, "left"), 0)
     weights, theta = fit(r, c, np.array(grade, np.int64), len(keys), grades)
@@ -161,15 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     part = [marks.where(F.col("__t") == t).orderBy("__h", key, "__g").limit(n) for t, n in ((True, sample["toxic"]), (False, sample["clean"]))]
     picked = part[0].unionByName(part[1])
     found = docs.select(key, F.col(text).alias("__x")).where(F.col("__x").isNotNull()).join(F.broadcast(picked), key).select("__x", "__t", "__g", "__h")
-    texts, marks_, grades_, held = [], [], [], 0
-    for r in found.orderBy("__h", "__x").toLocalIterator():
-        if held + len(r[0]) > sample_bytes:
-            break
-        held += len(r[0])
-        texts.append(r[0])
-        marks_.append(r[1])
-        grades_.append(r[2])
-    return learn(texts, marks_, grades_ if grade else None)
+    marked, graded = [], []
+
+    def texts():
+        held = 0
+        for r in found.orderBy("__h", "__x").toLocalIterator():
+            held += len(r[0])
+            if held > sample_bytes:
+                break
+            marked.append(r[1])
+            graded.append(r[2])
+            yield r[0]
+
+    model = learn(texts(), marked, graded if grade else None)
+    # the sample's classes aren't in the labels' proportion: put the thresholds where they would be
+    all_ = {r[0]: r[1] for r in marks.groupBy("__t").count().collect()}
+    if len(all_) == 2 and len(set(marked)) == 2:
+        model.theta = model.theta + np.log(all_[False] / marked.count(False) / (all_[True] / marked.count(True)))
+    return model
 
 
 def _score(model, threshold: float):
