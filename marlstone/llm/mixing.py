@@ -8,7 +8,7 @@ exact length within each source, and the rest of the work is on those counts:
 2. from the longest length down, further documents while they fit, until at most ``reach``
    words remain;
 3. a bounded knapsack over the documents still left (binary splitting, one bit for each
-   reachable sum) picks the sum nearest to what remains, from below.
+   reachable sum) picks the sum nearest to what remains (of two as near, the smaller).
 
 Documents are then selected seeded: within (source, length) by a hash of their id, as many as
 the count says. Groups are salted, so that one (source, length) may hold any share of the rows.
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, reach: int = REACH) -> list[int]:
-    """How many documents of each length to take; their sum is at most budget, and near it."""
+    """How many documents of each length to take, so that their sum is near the budget."""
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
@@ -81,12 +81,12 @@ def fit(lengths: list[int], counts: list[int], budget: int, reach: int = REACH)
             take[i] += more
             left -= more * lengths[i]
     if left > 0:
-        mask, reached, steps = (1 << (left + 1)) - 1, 1, []
+        mask, reached, steps = (1 << (2 * left + 1)) - 1, 1, []  # more than left over is worse than nothing
         for i in order[::-1]:
             free, chunk = counts[i] - take[i], 1
-            if lengths[i] <= 0 or lengths[i] > left:
+            if lengths[i] <= 0 or lengths[i] > 2 * left:
                 continue
-            free = min(free, left // lengths[i])
+            free = min(free, 2 * left // lengths[i])
             while free > 0:
                 chunk = min(chunk, free)
                 steps.append((i, chunk, reached))
@@ -95,7 +95,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, reach: int = REACH)
                 chunk *= 2
             if reached >> left & 1:
                 break
-        best = reached.bit_length() - 1
+        below = (reached & ((1 << (left + 1)) - 1)).bit_length() - 1
+        over = reached >> (left + 1)
+        above = left + (over & -over).bit_length() if over else None
+        best = above if above is not None and above - left < left - below else below
         for i, chunk, before in reversed(steps):
             if not before >> best & 1:
                 take[i] += chunk

@@ -178,17 +178,17 @@ def test_mixing(docs, rows):
     size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows) and all(r["__size"] == size(r.text) for r in got)
-    sizes, taken = Counter(), Counter()
+    sizes, taken, largest = Counter(), Counter(), Counter()
     for r in got:
         sizes[r.source] += r["__size"]
+        largest[r.source] = max(largest[r.source], r["__size"])
         taken[r.source] += r["__size"] * r["__times"]
         assert 0 <= r["__times"] <= 2
     want = brute_targets(sizes)
     for r in got:
         assert r["__source_size"] == sizes[r.source] and abs(r["__target"] - want[r.source]) < 1e-6 * max(1, want[r.source])
-    small = min(sizes.values())
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(3, 0.01 * small), (s, taken[s], want[s])
+    for s in sizes:  # one source is mostly one document
+        assert abs(taken[s] - want[s]) <= (largest[s] / 2 if largest[s] > 1000 else 3), (s, taken[s], want[s])
     again = mixing.mixed(docs.repartition(7)).collect()
     key = lambda r: (r.doc_id if r.doc_id is not None else -1, r["__times"])
     assert sorted(map(key, got)) == sorted(map(key, again))
@@ -286,7 +286,7 @@ def test_top_k(spark):
     rng = random.Random(3)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(6)]
     data = [(i, vec()) for i in range(300)] + [(900 + i, data_) for i, data_ in enumerate([[0.5] * 6] * 60)]
-    data += [(50, None), (100, [1.0, None, 1, 1, 1, 1]), (150, [float("nan")] * 6), (1000, [float("inf")] * 6), (1050, [0.1, 0.2]), (1100, [0.3, 0.4]), (None, vec()), (0, data[0][1])]
+    data += [(50, None), (100, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (150, [float("nan")] * 6), (1000, [float("inf")] * 6), (1050, [0.1, 0.2]), (1100, [0.3, 0.4]), (None, vec()), (0, data[0][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     import numpy as np
 
