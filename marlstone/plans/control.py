@@ -265,9 +265,11 @@ def token_budget(spark, d):
     return state.within_budget(c, "conv_id", "turn", F.floor(F.length("text") / 4), 300).select("conv_id", "turn", "used")
 
 
-@_query("feedback", "select conv_id, turn, lower(trim(left(text, 3))) in ('ok', 'yes', 'looks good', 'proceed', '') positive from conversations")
+@_query("feedback", "select event_id, case event_type when 'click' then true when 'view' then false when 'purchase' then true when 'error' then true else false end positive from events")
 def feedback(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", state.positive_feedback(F.left("text", F.lit(3))).alias("positive"))
+    t = F.col("event_type")
+    said = F.when(t == "click", " Ok\n").when(t == "view", "not yet").when(t == "purchase", "Looks good").when(t == "error", " ")
+    return table(spark, d, "events").select("event_id", state.positive_feedback(said).alias("positive"))
 
 
 @_query("workflow", """select o_orderkey, case when o_totalprice > 100000 then 'high, reviewed' else 'low' end note, cast(case when o_totalprice > 100000 then 3 else 2 end as integer) steps from orders""")

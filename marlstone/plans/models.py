@@ -227,8 +227,8 @@ select user_id, event_type, round(risk, 6) risk from (select *, row_number() ove
 
 
 def attention(spark, d):
-    """Self attention over the first eight components of groups of five vectors."""
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    """Self attention in groups of five vectors."""
+    v = F.col("embedding").cast("array<double>")
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("seq"), (F.col("vec_id") % 5).alias("pos"), v.alias("q"), v.alias("k"), v.alias("v"))
     out = D.attention(e, "seq", "pos", "q", "k", "v")
     return out.select("seq", "pos", F.transform("y", lambda x: F.round(x, 7)).alias("y"))
@@ -236,22 +236,24 @@ def attention(spark, d):
 
 QUERIES["attention"] = attention
 ORACLES["attention"] = """
-with e as (select vec_id // 5 seq, vec_id % 5 pos, list_transform(embedding[1:8], lambda c: c::double) v from embeddings),
+with e as (select vec_id // 5 seq, vec_id % 5 pos, list_transform(embedding, lambda c: c::double) v from embeddings),
 s as (select a.seq, a.pos, b.pos j, list_inner_product(a.v, b.v) z, b.v from e a join e b using (seq)),
 w as (select seq, pos, v, exp(z - mz) / sum(exp(z - mz)) over (partition by seq, pos) w from (select *, max(z) over (partition by seq, pos) mz from s)),
-y as (select seq, pos, i, sum(w * v[i]) y from w, range(1, 9) r(i) group by all)
+y as (select seq, pos, i, sum(w * v[i]) y from w, range(1, 65) r(i) group by all)
 select seq, pos, list(round(y, 7) order by i) y from y group by all"""
 
 
+_KEYS = [[i % 2 for i in range(64)], [1 + i % 3 for i in range(64)]]
+
+
 def projected_keys(spark, d):
-    """A fixed matrix times each vector's first three components."""
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
-    m = [[1, 0, 1], [0, 2, 0]]
-    return table(spark, d, "embeddings").select("vec_id", F.transform(D.matvec(m, x), lambda c: F.round(c, 7)).alias("key"))
+    """A fixed matrix of two rows times each vector."""
+    x = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", F.transform(D.matvec(_KEYS, x), lambda c: F.round(c, 7)).alias("key"))
 
 
 QUERIES["projected_keys"] = projected_keys
-ORACLES["projected_keys"] = "select vec_id, [round(embedding[1]::double + embedding[3]::double, 7), round(2 * embedding[2]::double, 7)] \"key\" from embeddings"
+ORACLES["projected_keys"] = "select vec_id, [" + ", ".join(f"round(list_inner_product(list_transform(embedding, lambda c: c::double), {[float(x) for x in r]}), 7)" for r in _KEYS) + '] "key" from embeddings'
 
 
 def label_words(spark, d):

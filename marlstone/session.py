@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import pickle
 import tempfile
 import uuid
 
@@ -36,12 +37,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(module) -> None:
-    """Have functions of a module or package travel to the executors by value.
+class Sent:
+    """A broadcast object whose class the executors needn't be able to import. Callers bound its size."""
 
-    Executors then need no copy of this repository on their Python path.
-    """
-    cloudpickle.register_pickle_by_value(module)
+    def __init__(self, spark: SparkSession, value):
+        self.held, self.kept = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"held": self.held, "kept": None}
+
+    @property
+    def value(self):
+        if self.kept is None:
+            self.kept = pickle.loads(self.held.value)
+        return self.kept
+
+    def drop(self) -> None:
+        """Forget the value in this process; the next use loads it again."""
+        self.kept = None
+        if hasattr(self.held, "_value"):
+            del self.held._value
 
 
 def shared_dir(spark: SparkSession) -> str:
