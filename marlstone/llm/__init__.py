@@ -1,7 +1 @@
 """Operators for preparing language-model training data. Nothing outside this package imports it."""
-
-import sys
-
-from marlstone.session import ship
-
-ship(sys.modules[__name__])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
+from marlstone.session import Sent
 
 WINDOW = 13
 SHINGLE = 3
@@ -168,7 +169,7 @@ def _judge(held, ratio: int):
                     edge[a + win.length[x]] -= 1
                     items[doc[a]].update(win.items[x])
                 if len(held) > 1:
-                    del b._value  # one block in memory at a time
+                    b.drop()  # one block in memory at a time
             hit = np.cumsum(edge[:-1]) > 0
             n_hit = np.bincount(doc[hit], minlength=hi - lo)
             out["n_words"] += n.tolist()
@@ -206,7 +207,7 @@ def judged(
     held = [w for w in held if w.words]
     if held:
         sizes = sorted({s for w in held for s in w.sizes})
-        vocabulary = [spark.sparkContext.broadcast(w.vocabulary) for w in held]
+        vocabulary = [Sent(spark, w.vocabulary) for w in held]
         counted = (
             docs.select(F.col(text).alias("t"))
             .mapInArrow(_counter(vocabulary, sizes), "block int, shingle long, n long")
@@ -218,7 +219,7 @@ def judged(
             counts[r.block][r.shingle % (1 << 64)] = r.n
         for w, c in zip(held, counts, strict=True):
             w.file(c)
-    sent = [spark.sparkContext.broadcast(w) for w in held]
+    sent = [Sent(spark, w) for w in held]
     return F.arrow_udf(_judge(sent, ratio), RESULT)(F.col(text))
 
 

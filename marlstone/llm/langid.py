@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
+from marlstone.session import Sent
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -186,7 +187,7 @@ def _predict(net):
 
 def predicted(docs: DataFrame, net: Network, text: str = "text") -> Column:
     """A struct column (RESULT). A text that is null or has no letter is ``und`` with score 0."""
-    found = F.arrow_udf(_predict(docs.sparkSession.sparkContext.broadcast(net)), RESULT)(F.col(text))
+    found = F.arrow_udf(_predict(Sent(docs.sparkSession, net)), RESULT)(F.col(text))
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     return F.when(letters, found).otherwise(unknown)

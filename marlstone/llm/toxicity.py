@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
+from marlstone.session import Sent
 
 SAMPLE = {"toxic": 2500, "clean": 7500}  # labelled rows to learn from, at most
 SAMPLE_BYTES = 48 << 20  # and their text
@@ -216,4 +217,4 @@ def scored(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float
 
     A null text, or one without words, has no features: its score is the thresholds' alone.
     """
-    return F.arrow_udf(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), RESULT)(F.col(text))
+    return F.arrow_udf(_score(Sent(docs.sparkSession, model), threshold), RESULT)(F.col(text))

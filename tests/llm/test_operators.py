@@ -339,6 +339,6 @@ def test_pipeline_stages(spark, tmp_path, docs, rows):
     spark.createDataFrame([(1, rows[10][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = Counter(r.doc_id for r in out)
-    assert 10 not in ids and max(ids.values()) <= 2 and 3 in ids or 3 not in ids
+    assert 10 not in ids and max(ids.values()) <= 2
     assert sorted(r.slot * 8 + r.shard for r in out) == list(range(len(out)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dup", "decontaminate", "mixing", "sharding"]
