@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NO_RESULT = "Operation completed without results"  # fixed text
 _KINDS = {int: ("bigint", "integer"), float: ("double", "number"), str: ("string", "string"), bool: ("boolean", "boolean")}
 
 
@@ -52,7 +53,7 @@ def normalised(result) -> str:
     import json
 
     if result is None:
-        return "Operation completed without results"
+        return NO_RESULT
     if isinstance(result, list):
         return ", ".join(map(str, result))
     if isinstance(result, dict):

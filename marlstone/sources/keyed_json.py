@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NOT_FOUND = "There's no saved information related to paper %s."  # fixed text
 RECORD = "title string, authors array<string>, summary string, pdf_url string, published string"
 
 
@@ -44,4 +45,4 @@ def lookup(rows: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
     """wanted's keys with the record of the first path that has them, as JSON, or a message."""
     fields = F.to_json(F.struct(*[c for c in rows.columns if c not in (key, "path")]))
     first = rows.groupBy(key).agg(F.min_by(fields, "path").alias("found"))
-    return wanted.select(key).join(first, key, "left").withColumn("found", F.coalesce("found", F.format_string("There's no saved information related to paper %s.", F.col(key).cast("string"))))
+    return wanted.select(key).join(first, key, "left").withColumn("found", F.coalesce("found", F.format_string(NOT_FOUND, F.col(key).cast("string"))))
