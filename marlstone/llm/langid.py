@@ -143,9 +143,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """Learn from at most sample rows of each language; rows with a null text or lang are left out."""
     h = F.xxhash64(F.lit(5), F.col(key).cast("string"))
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), h.alias("h"))
-    # each task's best of each language first, so that one frequent language isn't sorted in one task
-    spread = Window.partitionBy("l", F.pmod("h", F.lit(1024))).orderBy("h", "k")
-    rows = rows.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= sample)
+    # a few times as many rows as are wanted, by hash, so that no language's rows meet in one task
+    many = rows.groupBy("l").agg(F.count("*").alias("n"))  # a row a class of the model
+    share = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
+    rows = rows.join(F.broadcast(many), "l").where(share < F.lit(4.0 * sample) / F.col("n"))
     best = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= sample).select("k", "l", "h")
     texts = labelled.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(best), "k").orderBy("h", "k", "t")
     return learn((r.t, r.l) for r in texts.select("t", "l").toLocalIterator())
