@@ -18,7 +18,7 @@ from marlstone.session import cut
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
 
     The root is the smallest node of the component. Nulls, loops and repeated links are ignored.
     """
-    e = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     seen = None
     while True:
         e = cut(_small(_large(e)), "links")

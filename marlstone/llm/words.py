@@ -3,7 +3,7 @@
 A word is a maximal run of ASCII digits, letters (A-Z count as a-z) and non-ASCII characters,
 the pattern [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ on text with A-Z lower-cased. In UTF-8 every
 byte of a non-ASCII character is above 0x7F, so the pattern can be matched on bytes. Texts are
-taken in pieces of about a megabyte, cut between words, so that working memory beyond the
+taken in pieces of about a quarter megabyte, cut between words, so that working memory beyond the
 words themselves does not grow with a text's length.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _STEP = 0x9E3779B97F4A7C15 | 1  # odd, so that its powers have inverses modulo 2**64
 
 
