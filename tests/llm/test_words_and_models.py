@@ -210,6 +210,14 @@ def test_text_of_a_page_alone(html, text):
     assert H.text_of(html, None) == text
 
 
+@pytest.mark.parametrize("attrs", ["style='overflow:hidden'", 'style="overflow-x: hidden"', 'title="a hidden gem"', "data-x='id=menu'", "data-hidden", "title=a-hidden", "alt='class=ad hidden'"])
+def test_only_attribute_names_hide(attrs):
+    for tag in ("body", "article", "main", "div"):
+        assert H.text_of(f"<{tag} {attrs}><p>x</p></{tag}>", None) == "x"
+    for hidden in ("hidden", "HIDDEN", "hidden=''", "title='a b' hidden", "aria-hidden=true", "aria-hidden = 'true'"):
+        assert H.text_of(f"<div {hidden}>h</div><p>x</p>", None) == "x"
+
+
 def test_bags_keep_multiplicity():
     h = np.array([1, 2, 3, 4, 5] * 3, np.uint64)
     doc, ids, weight = near_dup.bag(*near_dup.elements(h, np.array([0, 15])))
