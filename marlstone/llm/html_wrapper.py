@@ -8,11 +8,13 @@ with equal tags, or equal runs of tags, become a repeated group; texts that diff
 slot, equal ones stay part of the template. No alternatives arise, so the expression is
 union-free and each slot is known by its path of tags.
 
-Slots then are main text or not, once for the host: what lies in menus, headers, footers, asides,
-forms, adverts, notices or comments isn't (told by tag, role, class or id), nor is template text
-outside the article, nor a slot that is mostly links; of the rest those of the article or
-main element are kept, and where a host has neither, all. A page's texts go by the slots
-of its host's wrapper; a path that the wrapper lacks is judged on the page by the same rules.
+Each page's tags are then matched with its host's wrapper, from the outside in, placing as many as
+can be (a single occurrence fills a repeated group too); its texts thereby fill slots. Texts that
+the wrapper lacks are known by their path of tags. What lies in menus, headers, footers, asides,
+forms, adverts, notices or comments, or is hidden on the page, isn't main text (told by tag, role,
+class or id); of the rest a page's main text is that of its article or main element. Only where
+it has none the slots decide: all texts are kept but template text and slots that are mostly
+links. Inside an article no slot is left out for repeating: a title that many pages share is text.
 
 The sample is bounded (``SAMPLE`` pages of a host, the smallest hashes, distinct content only);
 wrappers are applied to every page, whole. Pages aren't shuffled: choices and wrappers are small
@@ -21,6 +23,7 @@ tables in the shared folder, cut into files by a hash of the host, that tasks re
 
 from __future__ import annotations
 
+import hashlib
 import html
 import pickle
 import re
@@ -28,6 +31,7 @@ import uuid
 import zlib
 from collections import OrderedDict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -187,7 +191,7 @@ TEXT = "#text"
 
 def _merge(a: Item, b: Item, row: bool = False) -> Item:
     """One item for both; row: they follow one another in a page."""
-    out = Item(a.label, a.tag, a.bad or b.bad)
+    out = Item(a.label, a.tag, a.bad and b.bad)  # what only some pages hide is judged page by page
     out.least, out.most = min(a.least, b.least), 2 if row else max(a.most, b.most)
     out.pages = a.pages if row else a.pages + b.pages
     if a.label == TEXT:
@@ -291,7 +295,7 @@ def expression(items: list[Item]) -> str:
 
 
 def slots(wrapper: list[Item], pages: int) -> dict[str, bool]:
-    """Which paths of tags hold main text."""
+    """Which paths of tags hold main text, by the sample alone."""
     found: dict[str, list] = {}
 
     def walk(items: list[Item], path: tuple, bad: bool, inside: bool) -> None:
@@ -317,31 +321,148 @@ def _main(good: dict[str, list]) -> set[str]:
     return {k for k, v in good.items() if v[3]} or set(good)
 
 
-def text_of(page: str | None, known: dict[str, bool] | None) -> str:
-    """The page's main text: its blocks in order, joined by line ends."""
-    if not page:
-        return ""
-    blocks: list[tuple[str, str]] = []
-    own: dict[str, list] = {}
+class Wrapper:
+    """A wrapper to match pages with: per tag the flat sequence of what it contains.
 
-    def walk(node: Node, path: tuple, bad: bool, inside: bool) -> None:
-        for k in node.kids:
-            if isinstance(k, tuple):
-                key = "/".join(path)
-                blocks.append((key, k[0]))
-                held = own.setdefault(key, [0, 0, bad, inside, False, path])
-                held[0] += len(k[0])
-                held[1] += k[1]
-            else:
-                walk(k, (*path, k.label), bad or k.bad, inside or k.tag in ARTICLES)
+    seqs: (places, reach, to) a sequence, the first for the page. places has the positions of each
+    label; reach the last position that may come just before one, further on where a group repeats;
+    to the sequence of a tag's contents or the number of a text's slot. template, links: slots that
+    don't hold main text as they repeat one text, or are mostly links.
+    """
+
+    def __init__(self, items: list[Item], pages: int):
+        self.seqs, self.template, self.links, texts, todo = [None], set(), set(), 0, [(0, items)]
+
+        def flat(items: list[Item], places: dict, reach: list, to: list) -> None:
+            nonlocal texts
+            for x in items:
+                lo = len(to)
+                if x.label.startswith("("):
+                    flat(x.kids, places, reach, to)
+                else:
+                    places.setdefault(x.label, []).append(lo)
+                    reach.append(lo - 1)
+                    if x.label == TEXT:
+                        if x.text is not None and x.pages >= max(3, pages // 2):
+                            self.template.add(texts)
+                        if x.chars <= 2 * x.linked:
+                            self.links.add(texts)
+                        to.append(texts)
+                        texts += 1
+                    else:
+                        to.append(len(self.seqs))
+                        todo.append((len(self.seqs), x.kids))
+                        self.seqs.append(None)
+                if x.most == 2:
+                    reach[lo:] = [len(to) - 1] * (len(to) - lo)
+
+        while todo:
+            at, items = todo.pop()
+            self.seqs[at] = ({}, [], [])
+            flat(items, *self.seqs[at])
+
+
+def _restored(state: dict | None) -> Wrapper | None:
+    """A Wrapper from its variables: only these are stored, as executors needn't be able to import the class."""
+    if state is None:
+        return None
+    out = object.__new__(Wrapper)
+    out.__dict__ |= state
+    return out
+
+
+def placed(labels: list[str], places: dict[str, list[int]], reach: list[int]) -> list[int]:
+    """The position in a wrapper's sequence of each of a page's labels, -1 for what it lacks: as many as can be."""
+    out, at = [], -1
+    for label in labels:
+        s = -1
+        if (found := places.get(label)) is not None:
+            last = reach[at] if at >= 0 else -1
+            s = next((x for x in found if at < x <= last), None)
+            if s is None:
+                s = next((x for x in found if x > at or reach[x] >= at), None)
+            if s is None:
+                return _placed_best(labels, places, reach)
+            at = s
+        out.append(s)
+    return out
+
+
+def _placed_best(labels: list[str], places: dict[str, list[int]], reach: list[int]) -> list[int]:
+    """placed() where the first fit fails: best[s + 1] is the most labels that can be placed with the last at s.
 
-    walk(parse(page), (), False, False)
-    known = known or {}
-    if any(k not in known for k in own) or not any(known[k] for k in own):
-        good = {k: v for k, v in own.items() if not v[2] and v[0] > 2 * v[1]}
-        chosen = _main(good)
-        known = {k: known.get(k, k in chosen) for k in own} if any(known.get(k) for k in own) else {k: k in chosen for k in own}
-    return "\n".join(t for k, t in blocks if known[k])
+    Every root of the labels' number a copy is kept, from which the way back is computed again.
+    """
+    before = np.array([0, *(x + 1 for x in reach)])
+    where = {k: np.array(v) + 1 for k, v in places.items()}
+    size = max(1, int(len(labels) ** 0.5))
+
+    def after(best: np.ndarray, label: str) -> np.ndarray:
+        if label not in where:
+            return best
+        out, c = best.copy(), where[label]
+        out[c] = np.maximum(out[c], np.maximum.accumulate(best)[before[c]] + 1)
+        return out
+
+    kept, best = [], np.zeros(len(before), np.int64)
+    for i, label in enumerate(labels):
+        if i % size == 0:
+            kept.append(best)
+        best = after(best, label)
+    out, bound, left = [-1] * len(labels), len(before) - 1, int(best.max())
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k]]
+        for label in labels[k * size : (k + 1) * size]:
+            rows.append(after(rows[-1], label))
+        for i in range(len(rows) - 2, -1, -1):
+            if left and rows[i][: bound + 1].max() < left:
+                c = where[labels[k * size + i]]
+                s = int(c[(c <= bound) & (rows[i + 1][c] == left)][0])
+                out[k * size + i], bound, left = s - 1, int(before[s]), left - 1
+    return out
+
+
+def filled(page: str, wrapper: Wrapper | None) -> list[tuple[int, str, int, bool, bool]]:
+    """(slot, text, characters in links, bad, inside an article or main element) of the page's texts in order.
+
+    The page's tags are matched with the wrapper's from the outside in. Texts that the wrapper
+    lacks have a negative number made from their path of tags.
+    """
+    out, names = [], {}
+    todo = [(parse(page), 0 if wrapper else -1, "", False, False)]
+    while todo:
+        node, to, path, bad, inside = todo.pop()
+        if isinstance(node, tuple):
+            if to < 0:
+                if path not in names:
+                    names[path] = -1 - int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+                to = names[path]
+            out.append((to, *node, bad, inside))
+            continue
+        path, bad, inside = f"{path}/{node.label}", bad or node.bad, inside or node.tag in ARTICLES
+        at = [-1] * len(node.kids)
+        if to >= 0:
+            places, reach, tos = wrapper.seqs[to]
+            at = [x if x < 0 else tos[x] for x in placed([TEXT if isinstance(k, tuple) else k.label for k in node.kids], places, reach)]
+        todo.extend((k, x, path, bad, inside) for k, x in zip(reversed(node.kids), reversed(at), strict=True))
+    return out
+
+
+def text_of(page: str | None, wrapper: Wrapper | None) -> str:
+    """The page's main text: the texts of its main slots in order, joined by line ends."""
+    if not page:
+        return ""
+    blocks = [b for b in filled(page, wrapper) if not b[3]]
+    own: dict[int, list[int]] = {}
+    for slot, text, linked, _, _ in blocks:
+        held = own.setdefault(slot, [0, 0])
+        held[0] += len(text)
+        held[1] += linked
+    blocks = [b for b in blocks if own[b[0]][0] > 2 * own[b[0]][1]]
+    kept = [b for b in blocks if b[4]]
+    if not kept and wrapper:
+        kept = [b for b in blocks if b[0] not in wrapper.template and b[0] not in wrapper.links]
+    return "\n".join(b[1] for b in kept or blocks)
 
 
 class Side:
@@ -400,7 +521,7 @@ def _chosen(side: Side):
 def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
     pages = pdf.drop_duplicates("h").sort_values("h")["html"].tolist()
     w = infer(pages)
-    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(slots(w, len(pages)))], "expression": [expression(w)]})
+    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(vars(Wrapper(w, len(pages))))], "expression": [expression(w)]})
 
 
 def _apply(side: Side):
@@ -409,7 +530,7 @@ def _apply(side: Side):
         out = []
         for a, b in zip(host.to_pylist(), page, strict=True):
             if a not in known:
-                known[a] = side.get(a)
+                known[a] = _restored(side.get(a))
             out.append(text_of(b.as_py(), known[a]))
         return pa.array(out, pa.string())
 
@@ -417,7 +538,7 @@ def _apply(side: Side):
 
 
 def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(name, value, expression): each host's slots and its wrapper as a regular expression."""
+    """(name, value, expression): each host's Wrapper and the same as a regular expression."""
     spark = pages.sparkSession
     h = F.xxhash64(F.col(body))
     rows = pages.select(host_of(F.col(url)).alias("name"), F.col(key).cast("string").alias("k"), h.alias("h"), F.col(body).alias("html")).where(F.col("html").isNotNull())

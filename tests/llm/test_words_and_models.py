@@ -218,6 +218,34 @@ def test_only_attribute_names_hide(attrs):
         assert H.text_of(f"<div {hidden}>h</div><p>x</p>", None) == "x"
 
 
+def test_pages_are_matched_with_the_wrapper():
+    html = "<body><div><p>Same on all pages</p></div><h2>{0}</h2><div><p>text {0}</p></div></body>"
+    w = H.Wrapper(H.infer([html.format(i) for i in range(6)]), 6)
+    assert H.text_of(html.format("new"), w) == "new\ntext new"  # one path of tags, two slots
+    assert H.text_of("<body><div><p>Same on all pages</p></div><h2>q</h2><section>s</section></body>", w) == "q\ns"
+    hidden = H.Wrapper(H.infer(["<body><div hidden><p>a</p></div></body>", "<body><div><p>b</p></div></body>"]), 2)
+    assert H.text_of("<body><div><p>c</p></div></body>", hidden) == "c"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.tuples(st.sampled_from("abc"), st.booleans()), max_size=6), st.integers(0, 5), st.integers(0, 5))
+def test_as_many_labels_as_can_be_are_placed(labels, sequence, lo, hi):
+    reach = [i if loop else i - 1 for i, (_, loop) in enumerate(sequence)]
+    if lo < hi < len(reach):
+        reach[lo : hi + 1] = [hi] * (hi + 1 - lo)
+    places = {x: [i for i, (y, _) in enumerate(sequence) if y == x] for x, _ in sequence}
+
+    def most(k, at):
+        if k == len(labels):
+            return 0
+        return max([most(k + 1, at), *(1 + most(k + 1, s) for s in places.get(labels[k], []) if s > at or at <= reach[s])])
+
+    for got in (H.placed(labels, places, reach), H._placed_best(labels, places, reach)):
+        on = [(k, s) for k, s in enumerate(got) if s >= 0]
+        assert all(sequence[s][0] == labels[k] for k, s in on) and len(on) == most(0, -1)
+        assert all(b > a or a <= reach[b] for (_, a), (_, b) in zip(on, on[1:]))
+
+
 def test_bags_keep_multiplicity():
     h = np.array([1, 2, 3, 4, 5] * 3, np.uint64)
     doc, ids, weight = near_dup.bag(*near_dup.elements(h, np.array([0, 15])))
