@@ -14,10 +14,10 @@ the wrapper lacks are known by their path of tags. What lies in menus, headers,
 forms, adverts, notices or comments, or is hidden on the page, isn't main text (told by tag, role,
 class or id); of the rest a page's main text is that of its article or main element. Only where
 it has none the slots decide: all texts are kept but template text and slots that are mostly
-links. Inside an article no slot is left out for repeating: a title that many pages share is text.
+links, both counted over all distinct pages of the host. Inside an article no slot is left out for repeating: a title that many pages share is text.
 
-The sample is bounded (``SAMPLE`` pages of a host, the smallest hashes, distinct content only);
-wrappers are applied to every page, whole. Pages aren't shuffled: choices and wrappers are small
+The sample serves alignment alone and is bounded (``SAMPLE`` pages of a host, the smallest hashes,
+distinct content only); wrappers are applied to every page, whole. Pages aren't shuffled: choices and wrappers are small
 tables in the shared folder, cut into files by a hash of the host, that tasks read as they need.
 """
 
@@ -327,10 +327,10 @@ class Wrapper:
     seqs: (places, reach, to) a sequence, the first for the page. places has the positions of each
     label; reach the last position that may come just before one, further on where a group repeats;
     to the sequence of a tag's contents or the number of a text's slot. template, links: slots that
-    don't hold main text as they repeat one text, or are mostly links.
+    repeat one text, or are mostly links, over all pages of the host (see left_out).
     """
 
-    def __init__(self, items: list[Item], pages: int):
+    def __init__(self, items: list[Item]):
         self.seqs, self.template, self.links, texts, todo = [None], set(), set(), 0, [(0, items)]
 
         def flat(items: list[Item], places: dict, reach: list, to: list) -> None:
@@ -343,10 +343,6 @@ class Wrapper:
                     places.setdefault(x.label, []).append(lo)
                     reach.append(lo - 1)
                     if x.label == TEXT:
-                        if x.text is not None and x.pages >= max(3, pages // 2):
-                            self.template.add(texts)
-                        if x.chars <= 2 * x.linked:
-                            self.links.add(texts)
                         to.append(texts)
                         texts += 1
                     else:
@@ -458,11 +454,12 @@ def text_of(page: str | None, wrapper: Wrapper | None) -> str:
         held = own.setdefault(slot, [0, 0])
         held[0] += len(text)
         held[1] += linked
-    blocks = [b for b in blocks if own[b[0]][0] > 2 * own[b[0]][1]]
-    kept = [b for b in blocks if b[4]]
+    prose = [b for b in blocks if own[b[0]][0] > 2 * own[b[0]][1]]
+    kept = [b for b in prose if b[4]]
     if not kept and wrapper:
-        kept = [b for b in blocks if b[0] not in wrapper.template and b[0] not in wrapper.links]
-    return "\n".join(b[1] for b in kept or blocks)
+        linked = {k for k, v in own.items() if v[0] <= 2 * v[1]} & wrapper.links
+        kept = [b for b in blocks if not b[4] and b[0] not in wrapper.template and b[0] not in linked]
+    return "\n".join(b[1] for b in kept or prose)
 
 
 class Side:
@@ -521,16 +518,59 @@ def _chosen(side: Side):
 def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
     pages = pdf.drop_duplicates("h").sort_values("h")["html"].tolist()
     w = infer(pages)
-    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(vars(Wrapper(w, len(pages))))], "expression": [expression(w)]})
+    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(vars(Wrapper(w)))], "expression": [expression(w)]})
 
 
-def _apply(side: Side):
+COUNTS = "name string, h long, slot long, chars long, linked long, least long, most long"
+
+
+def _counted(side: Side):
+    def count(batches):
+        for b in batches:
+            known: dict = {}
+            rows: list[tuple] = []
+            for name, h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if name not in known:
+                    known[name] = _restored(side.get(name))
+                held: dict[int, list[int]] = {}
+                for slot, text, linked, bad, inside in filled(page.as_py(), known[name]):
+                    if not bad and not inside:
+                        x = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+                        v = held.setdefault(slot, [0, 0, x, x])
+                        held[slot] = [v[0] + len(text), v[1] + linked, min(v[2], x), max(v[3], x)]
+                rows.extend((name, h, slot, *v) for slot, v in held.items())
+            if rows:
+                n, *rest = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), *(pa.array(c, pa.int64()) for c in rest)], names=[f.split()[0] for f in COUNTS.split(", ")])
+
+    return count
+
+
+def left_out(pages: DataFrame, side: Side, url: str = "url", body: str = "html") -> DataFrame:
+    """(name, value): each host's slots that are template text or mostly links, by all its distinct pages.
+
+    Template text is one and the same on all pages that have it, at least half of the host's and
+    three; where a single page differs the slot holds text. Only texts outside articles count.
+    """
+    rows = pages.where(F.col(body).isNotNull()).select(host_of(F.col(url)).alias("name"), F.xxhash64(F.col(body)).alias("h"), F.col(body).alias("html"))
+    total = rows.select("name", "h").distinct().groupBy("name").agg(F.count("*").alias("total"))
+    largest = [F.max(c).alias(c) for c in ("chars", "linked", "least", "most")]  # equal pages count once
+    once = rows.mapInArrow(_counted(side), COUNTS).groupBy("name", "slot", "h").agg(*largest)
+    slot = once.groupBy("name", "slot").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
+    template = (F.col("least") == F.col("most")) & (F.col("pages") >= F.greatest(F.lit(3), F.floor(F.col("total") / 2)))
+    found = slot.join(total, "name").select("name", "slot", template.alias("template"), (F.col("chars") <= 2 * F.col("linked")).alias("links")).where("template or links")
+    pack = lambda pdf: pd.DataFrame({"name": pdf["name"].iloc[:1], "value": [pickle.dumps({c: set(pdf["slot"][pdf[c]].tolist()) for c in ("template", "links")})]})
+    return found.groupBy("name").applyInPandas(pack, "name string, value binary")
+
+
+def _apply(side: Side, left: Side):
     def extract(host: pa.Array, page: pa.Array) -> pa.Array:
         known: dict = {}
         out = []
         for a, b in zip(host.to_pylist(), page, strict=True):
             if a not in known:
-                known[a] = _restored(side.get(a))
+                state = side.get(a)
+                known[a] = _restored(state and state | (left.get(a) or {}))
             out.append(text_of(b.as_py(), known[a]))
         return pa.array(out, pa.string())
 
@@ -563,5 +603,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
     """
     side = Side(scratch(pages.sparkSession, "slots"))
     side.write(wrappers(pages, key, url, body, sample).select("name", "value"))
-    text = F.arrow_udf(_apply(side), "string")(host_of(F.col(url)), F.col(body))
+    left = Side(scratch(pages.sparkSession, "left"))
+    left.write(left_out(pages, side, url, body))
+    text = F.arrow_udf(_apply(side, left), "string")(host_of(F.col(url)), F.col(body))
     return pages.select(key, F.col(url).alias("url"), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

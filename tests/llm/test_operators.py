@@ -333,6 +333,19 @@ def test_html_on_tables(spark):
     assert html_wrapper.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_slots_are_counted_over_all_pages(spark):
+    html = "<body><div class=ad>{0}</div><section>Same everywhere</section><div><p>{1}</p></div><table><tr><td>{2}</td></tr></table></body>"
+    link = "<a href=/>a list of links</a>"
+    data = [(i, f"http://hot.com/{i}", html.format(i, "one body", link)) for i in range(120)]  # a group of near copies
+    data += [(i, f"http://hot.com/{i}", html.format(i, f"other body {i}", "prose at last")) for i in range(120, 126)]
+    data += [(130 + i, f"http://few.com/{i}", f"<body><h2>x</h2><p>{i // 3}</p></body>") for i in range(6)]  # two distinct pages
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.extracted(pages).collect()}
+    assert {got[i] for i in range(120)} == {"one body"}
+    assert all(got[i] == f"other body {i}\nprose at last" for i in range(120, 126))
+    assert [got[130 + i] for i in range(6)] == [f"x\n{i // 3}" for i in range(6)]
+
+
 def test_pipeline_stages(spark, tmp_path, docs, rows):
     docs.select(*[c.split()[0] for c in DOCS.split(", ")]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

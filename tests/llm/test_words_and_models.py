@@ -220,10 +220,11 @@ def test_only_attribute_names_hide(attrs):
 
 def test_pages_are_matched_with_the_wrapper():
     html = "<body><div><p>Same on all pages</p></div><h2>{0}</h2><div><p>text {0}</p></div></body>"
-    w = H.Wrapper(H.infer([html.format(i) for i in range(6)]), 6)
+    w = H.Wrapper(H.infer([html.format(i) for i in range(6)]))
+    w.template = {b[0] for b in H.filled(html, w) if b[1] == "Same on all pages"}
     assert H.text_of(html.format("new"), w) == "new\ntext new"  # one path of tags, two slots
     assert H.text_of("<body><div><p>Same on all pages</p></div><h2>q</h2><section>s</section></body>", w) == "q\ns"
-    hidden = H.Wrapper(H.infer(["<body><div hidden><p>a</p></div></body>", "<body><div><p>b</p></div></body>"]), 2)
+    hidden = H.Wrapper(H.infer(["<body><div hidden><p>a</p></div></body>", "<body><div><p>b</p></div></body>"]))
     assert H.text_of("<body><div><p>c</p></div></body>", hidden) == "c"
 
 
