@@ -9,8 +9,9 @@ from how much the children's rates differ beyond binomial noise (method of momen
 children of all parents). A host is blocked if the lower bound of its posterior bad rate, mean -
 z x standard deviation, is above ``limit``.
 
-The suffix is the host's last label and the registered domain its last ``domain_labels`` labels;
-pass other columns where a public suffix list is at hand. Hosts without labelled pages have their
+The public suffix is the longest of ``suffixes`` that the host ends with, or else its last label; the
+registered domain is one label more (ports, user names and a last dot don't count; an address is
+a domain of its own). Hosts without labelled pages have their
 domain's posterior, and so on up.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.suffixes import SUFFIXES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Z = 1.0
 LIMIT = 0.3
@@ -42,6 +45,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def registered(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(public suffix, registered domain) of a host. A host that is a public suffix is its own domain."""
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+    part = F.split(name, r"\.")
+    last = lambda n: F.array_join(F.slice(part, F.greatest(F.size(part) - (n - 1), F.lit(1)), n), ".")
+    suffix, domain = last(1), last(2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):  # the longest is asked first
+        fits = last(n).isin([s for s in suffixes if s.count(".") + 1 == n])
+        suffix, domain = F.when(fits, last(n)).otherwise(suffix), F.when(fits, last(n + 1)).otherwise(domain)
+    address = name.rlike(r"^([0-9]+\.){3}[0-9]+$") | name.startswith("[")
+    return F.when(address, name).otherwise(suffix), F.when(address, name).otherwise(domain)
+
+
 def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule as a string, its verdict) of the longest fitting rule; null where none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -74,7 +90,7 @@ def _level(children: DataFrame, key: str, parents: DataFrame, parent: str) -> Da
 
 
 def reputation(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_key: str = "doc_id", url: str = "url", bad: Column | None = None,
-               domain_labels: int = 3, z: float = Z, limit: float = LIMIT) -> DataFrame:
+               suffixes=SUFFIXES, z: float = Z, limit: float = LIMIT) -> DataFrame:
     """(host, domain, suffix, mean, bound, blocked), a row a host of pages.
 
     labels are page outcomes that meet pages by key; each label row is one outcome, a null
@@ -85,12 +101,9 @@ def reputation(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_
     seen = pages.select(F.col(key).alias("key"), host.alias("host"))
     marks = labels.select(F.col(label_key).alias("key"), bad.cast("long").alias("bad")).where("bad is not null and key is not null")
     told = seen.join(marks, "key").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    part = F.split("host", r"\.")
     hosts = seen.select("host").distinct().join(told, "host", "left").na.fill(0, ["n", "bad"])
-    hosts = hosts.withColumns({
-        "suffix": F.element_at(part, -1),
-        "domain": F.array_join(F.slice(part, F.greatest(F.size(part) - domain_labels + 1, F.lit(1)), domain_labels), "."),
-    })
+    suffix, domain = registered(F.col("host"), suffixes)
+    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("all", F.lit(1))
     # Jeffreys' half counts keep the overall rate off 0 and 1

@@ -254,6 +254,23 @@ def test_bad_hosts_are_shrunk_and_blocked(spark):
     assert url_reputation.judged(p.limit(0), lab).count() == 0
 
 
+def test_subdomains_of_a_registered_domain_are_pooled(spark):
+    want = {"www.spam.com": "spam.com", "spam.com": "spam.com", "a.b.spam.co.uk": "spam.co.uk", "co.uk": "co.uk", "com": "com", "": "", "10.0.0.1": "10.0.0.1", "10.0.0.1:80": "10.0.0.1",
+            "u@www.spam.com:8080": "spam.com", "www.spam.com.": "spam.com", "x.y.example.com": "y.example.com", "me.github.io": "me.github.io"}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: r.domain for r in hosts.select("host", url_reputation.registered(F.col("host"))[1].alias("domain")).collect()} == want
+    pages, labels = [], []
+    for host, n, bad in (("www.spam.com", 100, 95), ("shop.spam.com", 100, 92), ("new.spam.com", 1, 0), ("fine.com", 300, 10), ("a.fine.co.uk", 100, 5), ("b.bad.co.uk", 100, 90), ("c.bad.co.uk", 1, 0)):
+        for i in range(n):
+            pages.append((len(pages), f"http://{host}/{i}"))
+            if n > 1:
+                labels.append((pages[-1][0], int(i >= bad), 0))
+    p, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rep = {r.host: r for r in url_reputation.reputation(p, lab).collect()}
+    assert rep["new.spam.com"].blocked and rep["c.bad.co.uk"].mean > 0.5  # unlabelled hosts of bad domains
+    assert not rep["fine.com"].blocked and not rep["a.fine.co.uk"].blocked
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["a", "a", None, "", "é\r\n\r\nWARC/1.1\r\nx", "long " * 600_000, "a"]
     data = [(i, f"http://h/{i} x\n", h, b"1") for i, h in enumerate(html)] + [(3, "u", "", b"2"), (None, None, "only null", b"3")]
