@@ -12,9 +12,9 @@ Each page's tags are then matched with its host's wrapper, from the outside in,
 can be (a single occurrence fills a repeated group too); its texts thereby fill slots. Texts that
 the wrapper lacks are known by their path of tags. What lies in menus, headers, footers, asides,
 forms, adverts, notices or comments, or is hidden on the page, isn't main text (told by tag, role,
-class or id); of the rest a page's main text is that of its article or main element. Only where
+class or id; inside an article only by tag, role and whole classes of known widgets); of the rest a page's main text is that of its article or main element. Only where
 it has none the slots decide: all texts are kept but template text and slots that are mostly
-links, both counted over all distinct pages of the host. Inside an article no slot is left out for repeating: a title that many pages share is text.
+links, both counted over all distinct pages of the host. Inside an article no slot is left out for repeating or for its links: a title that many pages share is text.
 
 The sample serves alignment alone and is bounded (``SAMPLE`` pages of a host, the smallest hashes,
 distinct content only); wrappers are applied to every page, whole. Pages aren't shuffled: choices and wrappers are small
@@ -66,6 +66,12 @@ BAD_NAMES = frozenset(
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "announcement disclaimer legal discussion responses feedback promoted login share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets search form copyright".split()
 )
+# Inside an article, where ids and classes are made from headings too: whole classes of known widgets only.
+WIDGETS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsbygoogle ad-container ad-slot ad-unit ad-wrapper comments comment-list commentlist comment-form comment-respond comments-area disqus disqus_thread "
+    "cookie-banner cookie-bar cookie-consent cookie-notice newsletter-form newsletter-signup subscribe-form social-share share-bar share-buttons sharing-buttons social-links sharedaddy jp-relatedposts "
+    "related-posts related-articles recommended-posts recommended-articles breadcrumb breadcrumbs pagination pager navbar sidebar toolbar popup modal sponsored sponsored-content".split()
+)
 HEADER_NAMES = frozenset(["header", "topbar"])
 ARTICLES = ("article", "main")
 
@@ -90,9 +96,13 @@ def _open(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
                 label += f"@{value.lower()}"
             elif name in ("class", "id"):
                 label += ("." if name == "class" else "#") + re.sub(r"\d+", "0", value)
-                parts = {x.lower() for x in _PART.findall(value)}
-                if tag not in ("html", "body", *ARTICLES):
-                    bad |= bool(parts & BAD_NAMES) or not inside and bool(parts & HEADER_NAMES)
+                if tag in ("html", "body", *ARTICLES):
+                    continue
+                if inside:
+                    bad |= name == "class" and not WIDGETS.isdisjoint(value.lower().split())
+                else:
+                    parts = {x.lower() for x in _PART.findall(value)}
+                    bad |= bool(parts & BAD_NAMES) or bool(parts & HEADER_NAMES)
     return label, bad
 
 
@@ -312,7 +322,7 @@ def slots(wrapper: list[Item], pages: int) -> dict[str, bool]:
                 walk(x.kids, (*path, x.label), bad or x.bad, inside or x.tag in ARTICLES)
 
     walk(wrapper, (), False, False)
-    good = {k: v for k, v in found.items() if not v[2] and not v[4] and v[0] > 2 * v[1]}
+    good = {k: v for k, v in found.items() if not v[2] and not v[4] and (v[3] or v[0] > 2 * v[1])}
     return {k: k in kept for kept in [_main(good)] for k in found}
 
 
@@ -455,10 +465,10 @@ def text_of(page: str | None, wrapper: Wrapper | None) -> str:
         held[0] += len(text)
         held[1] += linked
     prose = [b for b in blocks if own[b[0]][0] > 2 * own[b[0]][1]]
-    kept = [b for b in prose if b[4]]
+    kept = [b for b in blocks if b[4]]
     if not kept and wrapper:
         linked = {k for k, v in own.items() if v[0] <= 2 * v[1]} & wrapper.links
-        kept = [b for b in blocks if not b[4] and b[0] not in wrapper.template and b[0] not in linked]
+        kept = [b for b in blocks if b[0] not in wrapper.template and b[0] not in linked]
     return "\n".join(b[1] for b in kept or prose)
 
 

@@ -218,6 +218,18 @@ def test_only_attribute_names_hide(attrs):
         assert H.text_of(f"<div {hidden}>h</div><p>x</p>", None) == "x"
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_sections_of_an_article_are_kept(tag):
+    names = ["id=related-work", "id=legal-framework", "id=discussion", "id=comments", "class='search results'", "class=legal", "class=social-history", "id=ad class='wide form'", "class=feedback-loop", "class=ad-hoc"]
+    body = "".join(f"<h2 id=search-{i}>h{i}</h2><section {n}><p>p{i}</p></section>" for i, n in enumerate(names))
+    refs = "<ul><li><a href=/1>first reference</a><li><a href=/2>second reference</a></ul>"
+    drop = "<div class='box ad'>x</div><div class=Comments>x</div><nav>x</nav><div role=navigation>x</div><div class=share-buttons>x</div>"
+    want = [t for i in range(len(names)) for t in (f"h{i}", f"p{i}")] + ["first reference", "second reference"]
+    html = f"<div class=legal>x</div><{tag}>{body}{refs}{drop}</{tag}>"
+    assert H.text_of(html, None).split("\n") == want
+    assert H.text_of(html, H.Wrapper(H.infer([html, html]))).split("\n") == want
+
+
 def test_pages_are_matched_with_the_wrapper():
     html = "<body><div><p>Same on all pages</p></div><h2>{0}</h2><div><p>text {0}</p></div></body>"
     w = H.Wrapper(H.infer([html.format(i) for i in range(6)]))
