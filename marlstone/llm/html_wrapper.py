@@ -30,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -249,28 +250,56 @@ def schema(node: Node) -> list[Item]:
     return fold(items)
 
 
+def common(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """(place in a or -1, place in b or -1) in order, equal labels of a longest common subsequence as one.
+
+    Exact at any length: a bit for each of a says where the longest common subsequence of what
+    follows grows (Hyyro's bit-parallel recurrence, from the end). A row of bits for each of b would
+    be much for long lists, so every root of their number one is kept and those between computed again.
+    """
+    n, m = len(a), len(b)
+    full, places = (1 << n) - 1, {}
+    for i, x in enumerate(a):  # the bit n - 1 - i is a's place i
+        places[x] = places.get(x, 0) | 1 << (n - 1 - i)
+
+    def before(row: int, label: str) -> int:
+        u = row & places.get(label, 0)
+        return (row + u | row - u) & full
+
+    size = max(1, int(m**0.5))
+    kept, row = {m: full}, full
+    for j in range(m - 1, -1, -1):
+        row = before(row, b[j])
+        if j % size == 0:
+            kept[j] = row
+    i, rows = 0, {}
+    for j in range(m):
+        if j % size == 0:
+            end = min(j + size, m)
+            rows = {end: kept[end]}
+            for k in range(end - 1, j - 1, -1):
+                rows[k] = before(rows[k + 1], b[k])
+        while i < n and a[i] != b[j] and rows[j] >> (n - 1 - i) & 1:
+            yield i, -1
+            i += 1
+        if i < n and a[i] == b[j]:
+            yield i, j
+            i += 1
+        else:
+            yield -1, j
+    for k in range(i, n):
+        yield k, -1
+
+
 def align(a: list[Item], b: list[Item], row: bool = False) -> list[Item]:
     """One sequence for both: a longest common subsequence of labels matches, the rest is optional."""
-    n, m = len(a), len(b)
-    if n * m > 250_000:  # no template looks like this; keep the longer one
-        return a if n >= m else b
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].label == b[j].label:
+    out = []
+    for i, j in common([x.label for x in a], [x.label for x in b]):
+        if i >= 0 and j >= 0:
             out.append(_merge(a[i], b[j], False) if not row else _merge_row(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            a[i].least = 0
-            out.append(a[i])
-            i += 1
         else:
-            b[j].least = 0
-            out.append(b[j])
-            j += 1
+            out.append(a[i] if i >= 0 else b[j])
+            out[-1].least = 0
     return out
 
 

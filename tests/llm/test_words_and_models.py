@@ -218,6 +218,42 @@ def test_only_attribute_names_hide(attrs):
         assert H.text_of(f"<div {hidden}>h</div><p>x</p>", None) == "x"
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_common_is_a_longest_common_subsequence(a, b):
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    want, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            want.append((i, j))
+            i, j = i + 1, j + 1
+        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            want.append((i, -1))
+            i += 1
+        else:
+            want.append((-1, j))
+            j += 1
+    assert list(H.common(a, b)) == want
+
+
+def test_long_lists_are_aligned():
+    rng = random.Random(3)
+    lists = [[rng.choice(("p", "ul", "h2", "pre", "table", "dl", "ol")) for _ in range(n)] for n in (700, 900)]
+    pages = ["<body><section>Same notice</section>" + "".join(f"<{t}>{k} {i}</{t}>" for i, t in enumerate(x)) + "</body>" for k, x in enumerate(lists)]
+    body = H.infer(pages)[0]
+    labels = [x.label for x in H.schema(H.parse(pages[0]))[0].kids], [x.label for x in H.schema(H.parse(pages[1]))[0].kids]
+    assert len(labels[0]) * len(labels[1]) > 250_000
+    assert body.kids[0].pages == 2 and body.kids[0].kids[0].text == "Same notice"
+    both = sum(x.pages == 2 for x in body.kids)
+    assert both > 0.5 * len(labels[0]) and len(body.kids) == len(labels[0]) + len(labels[1]) - both
+    a, b = (rng.choices("abcdefgh", k=20_000) for _ in range(2))
+    assert sum(i >= 0 and j >= 0 for i, j in H.common(a, b)) > 9000
+
+
 @pytest.mark.parametrize("tag", ["article", "main"])
 def test_sections_of_an_article_are_kept(tag):
     names = ["id=related-work", "id=legal-framework", "id=discussion", "id=comments", "class='search results'", "class=legal", "class=social-history", "id=ad class='wide form'", "class=feedback-loop", "class=ad-hoc"]
