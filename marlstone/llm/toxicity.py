@@ -6,11 +6,12 @@ every threshold. Features are sparse and binary: which words, and which beginnin
 severity is the expected grade, sum over k of P(grade > k).
 
 Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, the smallest hashes
-of the id); scoring reads every text whole, in one pass without a shuffle.
+of the id, and ``SAMPLE_BYTES`` of text); scoring reads every text whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 import numpy as np
@@ -168,11 +169,27 @@ def learn(texts: Iterable[str | None], toxic: list[bool], grade: list[int] | Non
     return Ordinal(keys, weights, theta)
 
 
+def fitting(rows: list[tuple[bool, int]], sample: dict, most: int) -> list[bool]:
+    """Which of the (toxic, bytes) rows to take in turn: a class has its share of most, as in sample, and what the other leaves.
+
+    A row that doesn't fit is passed over, not the end.
+    """
+    total = {t: sum(n for x, n in rows if x == t) for t in (True, False)}
+    share = most * sample["toxic"] // max(1, sample["toxic"] + sample["clean"])
+    left = {t: max(s, most - total[not t]) for t, s in ((True, share), (False, most - share))}
+    out = []
+    for t, n in rows:
+        out.append(n <= left[t])
+        left[t] -= n * out[-1]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", grade: str | None = None,
           sample: dict | None = None, sample_bytes: int = SAMPLE_BYTES) -> Ordinal:
     """Learn from at most sample labelled rows of each class and sample_bytes of their text.
 
-    Labels and documents meet by key; null keys, labels and texts are left out.
+    Labels and documents meet by key; null keys, labels and texts are left out. Fails where a class
+    has texts but each alone is beyond the bytes of its class (see fitting).
     """
     sample = sample or SAMPLE
     extra = [F.col(grade).cast("int").alias("__g")] if grade else [F.lit(0).alias("__g")]
@@ -181,19 +198,27 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     part = [marks.where(F.col("__t") == t).orderBy("__h", key, "__g").limit(n) for t, n in ((True, sample["toxic"]), (False, sample["clean"]))]
     picked = part[0].unionByName(part[1])
     found = docs.select(key, F.col(text).alias("__x")).where(F.col("__x").isNotNull()).join(F.broadcast(picked), key).select("__x", "__t", "__g", "__h")
+    found = found.withColumn("__d", F.xxhash64("__x"))
+    row = ["__h", "__d", "__t"]
+    sizes = found.groupBy(*row).agg(F.sum(F.octet_length("__x")).alias("n")).orderBy(*row).collect()  # as many as sample at most, but for repeated keys
+    kept = fitting([(r["__t"], r["n"]) for r in sizes], sample, sample_bytes)
+    lost = {r["__t"] for r in sizes} - {r["__t"] for r, k in zip(sizes, kept, strict=True) if k}
+    if lost:
+        raise ValueError(f"no text of the class toxic = {sorted(lost)} fits in the training sample of {sample_bytes} bytes")
+    if not all(kept):
+        few = docs.sparkSession.createDataFrame([tuple(r[c] for c in row) for r, k in zip(sizes, kept, strict=True) if k], "__h long, __d long, __t boolean")
+        found = found.join(F.broadcast(few), row)
     marked, graded = [], []
 
     def texts():
-        held = 0
-        for r in found.orderBy("__h", "__x").toLocalIterator():
-            held += len(r[0])
-            if held > sample_bytes:
-                break
+        for r in found.select("__x", "__t", "__g", "__h").orderBy("__h", "__x").toLocalIterator():
             marked.append(r[1])
             graded.append(r[2])
             yield r[0]
 
     model = learn(texts(), marked, graded if grade else None)
+    if len(set(marked)) == 2 and not len(model.keys):
+        warnings.warn(f"no feature tells {marked.count(True)} toxic from {marked.count(False)} clean texts: nothing is judged toxic", stacklevel=2)
     # the sample's classes aren't in the labels' proportion: put the thresholds where they would be
     all_ = {r[0]: r[1] for r in marks.groupBy("__t").count().collect()}
     if len(all_) == 2 and len(set(marked)) == 2:

@@ -328,6 +328,21 @@ def test_toxicity_on_tables(docs, empty, spark):
     assert empty.select(toxicity.scored(empty, none).alias("r")).count() == 0
 
 
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    rng = random.Random(9)
+    data = [(i, " ".join(rng.choice(("vile", "nasty") if i % 3 == 0 else ("kind", "calm")) for _ in range(20)) + f" w{i}") for i in range(90)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    large = [(i, "kind " * 8000) for i in range(90, 200)]
+    docs = spark.createDataFrame(data + large, "doc_id long, text string")
+    model = toxicity.train(docs, lab, sample_bytes=30_000)  # less than any of the large ones
+    got = {r.doc_id: r.toxic for r in docs.select("doc_id", toxicity.scored(docs, model)["toxic"].alias("toxic")).collect()}
+    assert all(got[i] == (i % 3 == 0) for i in range(90))
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.train(spark.createDataFrame(data[:1] + large, "doc_id long, text string").where("doc_id % 3 <> 0 or doc_id > 89"), lab, sample_bytes=30_000)
+    assert toxicity.fitting([(True, 9), (False, 50), (False, 20), (True, 2), (False, 9)], {"toxic": 1, "clean": 3}, 40) == [True, False, True, False, True]
+    assert all(toxicity.fitting([(True, 30), (False, 10)], {"toxic": 1, "clean": 3}, 40))
+
+
 def test_language_on_tables(docs, empty):
     net = langid.train(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")))
     got = docs.select("text", langid.predicted(docs, net).alias("p")).select("text", "p.*").collect()
