@@ -206,14 +206,53 @@ def chunks(archives: DataFrame, folder: str, chunk: int = CHUNK, pieces: bool =
     return spread.mapInArrow(_reader(folder, chunk, pieces), CHUNKS if pieces else FIELDS)
 
 
+RECORDS = "warc_type string, record_id string, refers_to string, declared_digest string, bytes_so_far long, digest_so_far string"
+
+
+def _digests(batches):
+    """Rows of the chunk table, each record's in order, to RECORDS; one piece at a time."""
+    of, sha, size, due = None, None, 0, 0
+    for b in batches:
+        rows = []
+        names = ("archive", "record_no", "chunk_no", "last", "warc_type", "record_id", "refers_to", "declared_digest")
+        for (archive, no, k, last, *fields), piece in zip(zip(*(b.column(c).to_pylist() for c in names), strict=True), b.column("chunk"), strict=True):
+            if k == 0 and sha is None:
+                of, sha, size, due = (archive, no), hashlib.sha1(), 0, 0
+            if (archive, no) != of or k != due or sha is None:
+                raise ValueError(f"record {no} of {archive} or the one before lacks chunk {due}")
+            data = piece.as_buffer()
+            sha.update(data)
+            size, due = size + data.size, due + 1
+            if last:
+                rows.append((*fields, size, base32(sha.digest())))
+                sha = None
+        if rows:
+            types = [pa.int64() if f.endswith(" long") else pa.string() for f in RECORDS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
+    if sha is not None:
+        raise ValueError(f"record {of[1]} of {of[0]} lacks chunk {due}")
+
+
+def digested(table: DataFrame) -> DataFrame:
+    """RECORDS, a row a record of a chunk table, its bytes and digest computed from the table's pieces.
+
+    Records of one piece stay where they are; the pieces of longer ones meet in order.
+    """
+    whole = (F.col("chunk_no") == 0) & F.col("last")
+    parts = table.where(~whole).repartition("archive", "record_no").sortWithinPartitions("archive", "record_no", "chunk_no")
+    return table.where(whole).mapInArrow(_digests, RECORDS).unionByName(parts.mapInArrow(_digests, RECORDS))
+
+
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST) -> DataFrame:
     """Write pages and read the archives back: (key, payload_bytes, payload_digest, record_type, refers_to).
 
-    Bytes and digest of a response are computed from what was read, those of a revisit are its
+    The archives are read into a chunk table with its payload pieces, in the shared folder. Bytes and
+    digest of a response are computed from its pieces in that table, those of a revisit are its
     response's. A response whose digest isn't the declared one fails the read.
     """
     folder = scratch(pages.sparkSession, "warc")
-    last = cut(chunks(write(pages, folder, key, url, body, least), folder, pieces=False).where("last").drop("last"), "records")
+    table = cut(chunks(write(pages, folder, key, url, body, least), folder), "chunks")
+    last = cut(digested(table), "records")
     kind = pages.schema[key].dataType
     own = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
     good = F.when(F.col("digest_so_far") == F.col("declared_digest"), F.col("digest_so_far")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs in record "), F.col("record_id"))).cast("string"))

@@ -299,6 +299,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_digests_come_from_the_chunk_table(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(warc, "cut", lambda df, name: tables.append(cut(df, name)) or tables[-1])
+    html = ["a", "", "é", "long " * 600_000]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")).collect()}
+    made = next(t for t in tables if "chunk" in t.columns)
+    pieces = defaultdict(dict)
+    for r in made.collect():
+        pieces[r.archive, r.record_no][r.chunk_no] = bytes(r.chunk)
+    assert sorted(b"".join(p[k] for k in sorted(p)) for p in pieces.values()) == sorted(h.encode() for h in html) and max(map(len, pieces.values())) > 2
+    for i, h in enumerate(html):
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
+    other = made.withColumn("chunk", F.when(F.col("bytes_so_far") == 1, F.lit(b"xyz")).otherwise(F.col("chunk")))
+    assert {r.bytes_so_far for r in warc.digested(other).collect()} == {3, 0, 2, 3_000_000}
+    with pytest.raises(Exception, match="lacks chunk"):
+        warc.digested(made.where("chunk_no <> 1")).collect()
+    with pytest.raises(Exception, match="lacks chunk"):
+        warc.digested(made.where("chunk_no = 0 or not last")).collect()
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(6)]
