@@ -2,9 +2,10 @@
 
 Large-star: every node links its larger neighbours to the smallest node it knows. Small-star:
 every node links its smaller neighbours, and itself, to the smallest of them. Each is one
-aggregation with map-side combining and one equality join, so that a node with any number of
-links is never gathered in one task. Repeated until nothing changes, every node is linked
-to the smallest node of its component. Each round is written to the shared folder.
+aggregation with map-side combining, written to the shared folder, and one plain equality join
+with it, which adaptive execution splits, so that a node with any number of links is never
+gathered in one task. Repeated until nothing changes, every node is linked to the smallest node
+of its component.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from marlstone.session import cut
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = cut(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
     moved = edges.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), "b")
     return moved.select(F.inline(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("b").alias("b"))))).where("a < b").distinct()
 
@@ -35,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     e = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     seen = None
     while True:
-        e = cut(_small(_large(e)), "links")
+        e = cut(_small(cut(_large(e), "links")), "links")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if seen == now:
             break

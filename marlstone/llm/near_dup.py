@@ -8,16 +8,25 @@ have a time, a register and a place in the interval. A text in which d occurs w
 points placed below w. A register holds the earliest point seen; two texts agree in a register
 with the probability of their weighted Jaccard similarity. Points come in order of time, so a
 process is followed only until it is later than every register: about registers x ln(registers)
-points a text beyond the first of each element, instead of registers x elements.
+points a text beyond the first of each element, instead of registers x elements. Times are whole
+numbers (units of 2**-32), so a signature depends on its text's words alone: not on the batch,
+the partitioning or the order in which points are summed.
 
 Texts with the same words are one node of the graph. Bands of ``rows`` registers put nodes into
 buckets; nodes of one bucket are candidates, and a link is a verified overlap of at least 4/5.
-Buckets aren't expanded into all pairs: each compares its smallest node with the others, then
-components are formed, and only nodes in other components than the bucket's smallest go on as
-pivots, at most ``pivots`` at a time and bucket, against the nodes of other components still.
-A bucket is done when its nodes are connected or each of its pivots has been compared, so every
-pair of a bucket is compared or connected otherwise, and classes are those of all its links.
 With 32 bands of 6 registers a pair at similarity 0.8 shares a bucket with probability 0.99994.
+Buckets aren't expanded into all pairs. Of buckets with the same nodes one is kept. Each compares
+its smallest node with the others; then, in rounds, components are formed and
+
+* a bucket whose nodes are all connected is done;
+* a node goes from a bucket in which it can't have a partner: an overlap is at most the number of
+  its elements that any other remaining node has too, which one count of all elements bounds;
+* the others compare a few pivots (four times as many each round) with the nodes of other
+  components that the same bound and that on lengths allow; the pivots are done then.
+
+So every pair of a bucket is compared, connected otherwise or too different by an exact bound, and
+classes are those of all links between bucket mates. What stays quadratic is a bucket of
+many texts without links whose elements nearly all recur among them.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
@@ -36,7 +45,9 @@ from marlstone.session import cut
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 THRESHOLD = (4, 5)
-PIVOTS = 64
+PIVOTS = 4
+UNIT = 2.0**32  # of a point's time
+NONE = np.iinfo(np.int64).max  # the time of a register that no point has reached
 SIGNATURE = "node binary, n long, bands array<long>"
 
 
@@ -69,32 +80,33 @@ def bag(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def signatures(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, texts: int, m: int) -> np.ndarray:
-    """texts x m registers: times of the earliest points, inf where a text has no elements."""
+    """texts x m registers: times of the earliest points, NONE where a text has no elements."""
     levels = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64), 0) + 1
     src = np.repeat(np.arange(len(doc)), levels)
     level = np.arange(len(src)) - np.repeat(np.cumsum(levels) - levels, levels)
     low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
     width = np.where(level > 0, low, 1.0)
-    share = np.minimum((weight[src] - low) / width, 1.0)  # of the interval that lies below the weight
+    share = np.floor(np.minimum((weight[src] - low) / width, 1.0) * 2.0**32).astype(np.uint64)  # of the interval that lies below the weight
+    halved = np.maximum(level - 1, 0)  # a process of twice the rate has half the gaps
     seed = W.mix(ids[src] ^ W.mix(level.astype(np.uint64) + np.uint64(0x51ED27)))
-    d, t, rate = doc[src], np.zeros(len(src)), width
-    held = np.full(texts * m, np.inf)
-    latest = np.full(texts, np.inf)
+    d, t = doc[src], np.zeros(len(src), np.int64)
+    held = np.full(texts * m, NONE)
+    latest = np.full(texts, NONE)
     i = 0
     while len(d):
-        k = 1 if len(d) > 4096 else 16 if len(d) > 256 else 128
+        k = 1 if len(d) > 4096 else 16 if len(d) > 256 else 128  # points at a time: any number gives the same sums
         step = np.arange(i + 1, i + k + 1, dtype=np.uint64)
         a = W.mix(seed[:, None] + step[None, :] * np.uint64(0x9E3779B97F4A7C15))
-        gap = -np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        times = t[:, None] + np.cumsum(gap, 1) / rate[:, None]
+        gap = np.rint(-np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * UNIT).astype(np.int64)
+        times = t[:, None] + np.cumsum(gap >> halved[:, None], 1)
         b = W.mix(a ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         register = ((b >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        seen = (times < latest[d][:, None]) & ((b & np.uint64(0xFFFFFFFF)).astype(np.float64) < share[:, None] * 2.0**32)
+        seen = (times < latest[d][:, None]) & ((b & np.uint64(0xFFFFFFFF)) < share[:, None])
         np.minimum.at(held, (d[:, None] * m + register.astype(np.int64))[seen], times[seen])
         u = np.unique(d)
         latest[u] = held.reshape(texts, m)[u].max(1)
         live = times[:, -1] < latest[d]
-        d, t, rate, share, seed = d[live], times[live, -1], rate[live], share[live], seed[live]
+        d, t, halved, share, seed = d[live], times[live, -1], halved[live], share[live], seed[live]
         i += k
     return held.reshape(texts, m)
 
@@ -106,14 +118,13 @@ def _signer(size: int, bands: int, rows: int):
         for lo, hi in W.groups(at):
             h, _, _, bounds = W.words(data, at[lo : hi + 1])
             n = np.diff(bounds)
-            doc, ids = elements(h, bounds, size)
-            doc, ids, weight = bag(doc, ids)
+            doc, ids, weight = bag(*elements(h, bounds, size))
             sig = signatures(doc, ids, weight, hi - lo, bands * rows).view(np.uint64).reshape(hi - lo, bands, rows)
             v = np.zeros((hi - lo, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for j in range(rows):
                 v = W.mix(v * np.uint64(0x100000001B3) + sig[:, :, j])
             held.append(v.view(np.int64).reshape(-1))
-            counts.append(n)
+            counts.append(np.bincount(doc, weight, hi - lo).astype(np.int64))
             raw = h.tobytes()
             for k in range(hi - lo):
                 nodes.append(hashlib.blake2b(raw[8 * bounds[k] : 8 * bounds[k + 1]], digest_size=16).digest() if n[k] else None)
@@ -146,7 +157,7 @@ def _bagger(size: int):
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
             threshold: tuple[int, int] = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
-    """(key, __text_hash, node, root, class_id, class_size), a row a row of docs.
+    """(k, t, node, root, class_id, class_size), a row a row of docs: its key and its text's hash.
 
     ``node`` names a text's words, ``root`` the class; ``class_id`` is the class's smallest key
     (null if all are null). Rows with equal words are of one class, whatever their keys. A null
@@ -154,51 +165,94 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     signed = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.arrow_udf(_signer(size, bands, rows), SIGNATURE)(F.col(text)).alias("s"))
     signed = cut(signed.select("k", "t", "s.node", "s.n", "s.bands"), "signed")
-    at = F.struct("k", "t")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min(at).alias("at"), F.first("bands").alias("bands"))
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1").drop("c")
-    members = cut(buckets.join(shared, "bucket"), "members")  # only buckets of two or more
-    bags = members.select("node").distinct().join(nodes.select("node", "at.k", "at.t"), "node")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes, "nodes")
+    members = _members(nodes)
+    bags = _bags(docs, key, text, size, nodes, members)
+    links = _links(members.where("node <> least"), bags, threshold)
+    roots = components(links)
+    live = members.where("node <> least and c > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    while True:
+        rest = _open(live)
+        if rest.isEmpty():
+            return _placed(signed, roots)
+        rest = _possible(rest, bags, threshold)
+        chosen = (F.col("c") <= pivots) | (F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("c") / pivots)) == 0)
+        pairs = _pairs(rest.where(chosen), rest, threshold)
+        links = cut(_verified(pairs, bags, threshold, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        live = rest.where(~chosen).select("bucket", "node", "n", "root")
+        if not links.isEmpty():
+            up = components(links).select(F.col("node").alias("root"), F.col("root").alias("__up"))
+            alone = up.select(F.col("root").alias("node"), "root")
+            roots = _raised(roots.unionByName(alone).distinct(), up)
+            live = _raised(live, up)
+        pivots *= 4
+
+
+def _raised(df: DataFrame, up: DataFrame) -> DataFrame:
+    return cut(df.join(up, "root", "left").withColumn("root", F.coalesce("__up", "root")).drop("__up"), "raised")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, least, least_n, c): the buckets of two nodes or more, one of those with the same nodes."""
+    buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select("node", "n", F.xxhash64("band", "h").alias("bucket"))
+    shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = cut(buckets.join(shared, "bucket"), "shared")
+    marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    named = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("at"), F.count("*").alias("c"), *marks)
+    first = cut(named.groupBy("c", "x", "y").agg(F.min(F.struct("bucket", "at")).alias("f")).select("f.bucket", "f.at"), "shared")
+    return cut(members.join(first, "bucket").select("bucket", "node", "n", "c", F.col("at.node").alias("least"), F.col("at.n").alias("least_n")), "members")
+
+
+def _bags(docs: DataFrame, key: str, text: str, size: int, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, bag) of the nodes of members."""
+    wanted = cut(nodes.select("node", "at.k", "at.t").join(members.select("node").distinct(), "node", "left_semi"), "wanted").alias("b")
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).alias("d")
-    found = bags.alias("b").join(texts, (F.col("b.t") == F.col("d.t")) & F.col("b.k").eqNullSafe(F.col("d.k")))
-    found = found.select("node", F.arrow_udf(_bagger(size), "array<long>")(F.col("x")).alias("bag"))
-    bags = cut(found.dropDuplicates(["node"]), "bags")
+    found = wanted.join(texts, (F.col("b.t") == F.col("d.t")) & F.col("b.k").eqNullSafe(F.col("d.k")))
+    return cut(found.select("node", F.arrow_udf(_bagger(size), "array<long>")(F.col("x")).alias("bag")).dropDuplicates(["node"]), "bags")
+
 
+def _alike(overlap: Column, a: str, b: str, threshold: tuple[int, int]) -> Column:
+    """Whether bags of a and b elements with that overlap have the similarity p/q."""
     p, q = threshold
-    a, b = bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose overlap is at least p/q; the smaller bag must have p/q of the larger's size."""
-        both = pairs.join(a, "a").join(b, "b")
-        near = q * F.least(F.size("x"), F.size("y")) >= p * F.greatest(F.size("x"), F.size("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(near).withColumn("c", common).where(q * F.col("c") >= p * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b")
-
-    pairs = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(cut(verified(pairs), "links"))
-    tested = None
-    while True:
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = placed.where("node = least").select("bucket", F.col("root").alias("main"))
-        away = placed.join(heads, "bucket").where("root <> main").drop("main")
-        if tested is not None:
-            away = away.join(tested, ["bucket", "node"], "left_anti")
-        many = away.groupBy("bucket").agg(F.count("*").alias("c"))
-        one = F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("c") / pivots)) == 0
-        chosen = cut(away.join(many, "bucket").where(one | (F.col("c") <= pivots)).select("bucket", "node", "root", "least"), "pivots")
-        if chosen.isEmpty():
-            if away.isEmpty():
-                return _placed(signed, roots)
-            pivots *= 2  # no hash fell on 0 in any bucket
-            continue
-        other = placed.select("bucket", F.col("node").alias("o"), F.col("root").alias("r"))
-        todo = chosen.join(other, "bucket").where("r <> root and o <> least and o <> node")
-        more = cut(verified(todo.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()), "links")
-        done = chosen.select("bucket", "node")
-        tested = done if tested is None else tested.unionByName(done)
-        if not more.isEmpty():
-            roots = components(more.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    return (p + q) * overlap >= p * (F.col(a) + F.col(b))
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: tuple[int, int], *more: str) -> DataFrame:
+    both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
+    return both.where(_alike(F.size(F.array_intersect("x", "y")), "na", "nb", threshold)).select("a", "b", *more)
+
+
+def _links(members: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of each bucket the links of its smallest node."""
+    pairs = members.where(_alike(F.least("n", "least_n"), "n", "least_n", threshold))
+    pairs = pairs.select(F.col("least").alias("a"), F.col("least_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    return cut(_verified(pairs, bags, threshold), "links")
+
+
+def _open(live: DataFrame) -> DataFrame:
+    """The rows of buckets with nodes of several components, with the number of rows and the smallest bag."""
+    many = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least_n")).where("lo <> hi")
+    return cut(live.join(cut(many.drop("lo", "hi"), "open"), "bucket"), "rest")
+
+
+def _possible(rest: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """rest with ``most``, the elements a node shares with any other at most; rows that can't have a partner go."""
+    tokens = bags.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("bag").alias("e"))
+    own = tokens.groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own")
+    found = rest.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    return cut(found.where(_alike(F.col("most"), "n", "least_n", threshold)).select("bucket", "node", "n", "root", "c", "most"), "possible")
+
+
+def _pairs(pivots: DataFrame, rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pivots with the bucket's nodes of other components, where the bounds allow a link; each pair once."""
+    one = pivots.select("bucket", *(F.col(x).alias(f"p_{x}") for x in ("node", "n", "root", "most")))
+    possible = _alike(F.least("p_most", "most", "p_n", "n"), "p_n", "n", threshold)
+    met = one.join(rest.select("bucket", "node", "n", "root", "most"), "bucket").where((F.col("p_root") != F.col("root")) & possible)
+    ends = [F.struct(F.col(f"{x}node").alias("node"), F.col(f"{x}n").alias("n"), F.col(f"{x}root").alias("root")) for x in ("p_", "")]
+    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("g")).distinct()
+    return met.select(F.col("s.node").alias("a"), F.col("s.n").alias("na"), F.col("s.root").alias("ra"), F.col("g.node").alias("b"), F.col("g.n").alias("nb"), F.col("g.root").alias("rb"))
 
 
 def _placed(signed: DataFrame, roots: DataFrame) -> DataFrame:

@@ -64,6 +64,40 @@ def test_signatures_are_unbiased_for_weighted_jaccard():
     assert abs(np.mean(z)) < 0.4 and np.std(z) < 1.4
 
 
+def _signed(texts):
+    got = near_dup._signer(5, 32, 6)(pa.array(texts, pa.string()))
+    return [(r["node"], r["n"], tuple(r["bands"])) for r in got.to_pylist()]
+
+
+def test_a_signature_depends_on_its_text_alone():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(n)) for n in [1, 2, 4, 5, 6, 9, 12, 20, 40, 300, 3000] for _ in range(3)]
+    texts += ["x y " * 400, "", None, "Ünï cödé " * 3]
+    alone = [_signed([t])[0] for t in texts]
+    assert _signed(texts) == alone
+    order = list(range(len(texts)))
+    for cut in (2, 5, 17):
+        rng.shuffle(order)
+        got = {i: s for k in range(0, len(order), cut) for i, s in zip(order[k : k + cut], _signed([texts[i] for i in order[k : k + cut]]), strict=True)}
+        assert [got[i] for i in range(len(texts))] == alone
+
+
+def test_recall_of_pairs_at_the_threshold_by_length():
+    """Pairs of a similarity between 0.8 and 0.9 in different batches, texts of few words too."""
+    rng = random.Random(4)
+    for n in (9, 12, 15, 20, 40, 200):
+        one, two = [], []
+        while len(one) < 60:
+            a = [str(rng.randint(0, 10**6)) for _ in range(n)]
+            b = a + [str(rng.randint(0, 10**6)) for _ in range(max(1, (n - 4) // 5))]
+            x, y = n - 4, len(b) - 4
+            if 5 * x >= 4 * y:
+                one.append(" ".join(a))
+                two.append(" ".join(b))
+        met = [any(u == v for u, v in zip(p[2], q[2], strict=True)) for p, q in zip(_signed(one), [_signed([t])[0] for t in two], strict=True)]
+        assert sum(met) >= 58, n
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 1000, 4097])
 def test_permutation_is_a_permutation_and_can_be_undone(n):
     x = np.arange(n)
