@@ -26,7 +26,9 @@ its smallest node with the others; then, in rounds, components are formed and
 
 So every pair of a bucket is compared, connected otherwise or too different by an exact bound, and
 classes are those of all links between bucket mates. What stays quadratic is a bucket of
-many texts without links whose elements nearly all recur among them.
+many texts without links whose elements nearly all recur among them. The joins of whole
+tables (texts, buckets, bags) are merge joins at every size, which adaptive execution splits
+where a key is hot.
 """
 
 from __future__ import annotations
@@ -168,7 +170,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(nodes, "nodes")
     members = _members(nodes)
-    bags = _bags(docs, key, text, size, nodes, members)
+    bags = _bags(docs, key, text, size, signed, nodes, members)
     links = _links(members.where("node <> least"), bags, threshold)
     roots = components(links)
     live = members.where("node <> least and c > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -176,11 +178,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         rest = _open(live)
         if rest.isEmpty():
             return _placed(signed, roots)
+        bags = cut(bags.hint("merge").join(rest.select("node").distinct(), "node", "left_semi"), "bags")
         rest = _possible(rest, bags, threshold)
-        chosen = (F.col("c") <= pivots) | (F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("c") / pivots)) == 0)
-        pairs = _pairs(rest.where(chosen), rest, threshold)
-        links = cut(_verified(pairs, bags, threshold, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
-        live = rest.where(~chosen).select("bucket", "node", "n", "root")
+        rest = rest.withColumn("chosen", (F.col("c") <= pivots) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / pivots)) == 0))
+        links = cut(_verified(_pairs(rest, threshold), bags, threshold, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        live = rest.where("not chosen").select("bucket", "node", "n", "root")
         if not links.isEmpty():
             up = components(links).select(F.col("node").alias("root"), F.col("root").alias("__up"))
             alone = up.select(F.col("root").alias("node"), "root")
@@ -197,19 +199,29 @@ def _members(nodes: DataFrame) -> DataFrame:
     """(bucket, node, n, least, least_n, c): the buckets of two nodes or more, one of those with the same nodes."""
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select("node", "n", F.xxhash64("band", "h").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    members = cut(buckets.join(shared, "bucket"), "shared")
+    members = cut(buckets.hint("merge").join(shared, "bucket"), "shared")
     marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     named = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("at"), F.count("*").alias("c"), *marks)
     first = cut(named.groupBy("c", "x", "y").agg(F.min(F.struct("bucket", "at")).alias("f")).select("f.bucket", "f.at"), "shared")
     return cut(members.join(first, "bucket").select("bucket", "node", "n", "c", F.col("at.node").alias("least"), F.col("at.n").alias("least_n")), "members")
 
 
-def _bags(docs: DataFrame, key: str, text: str, size: int, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, bag) of the nodes of members."""
-    wanted = cut(nodes.select("node", "at.k", "at.t").join(members.select("node").distinct(), "node", "left_semi"), "wanted").alias("b")
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x")).alias("d")
-    found = wanted.join(texts, (F.col("b.t") == F.col("d.t")) & F.col("b.k").eqNullSafe(F.col("d.k")))
-    return cut(found.select("node", F.arrow_udf(_bagger(size), "array<long>")(F.col("x")).alias("bag")).dropDuplicates(["node"]), "bags")
+def _bags(docs: DataFrame, key: str, text: str, size: int, signed: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, bag) of the nodes of members, each from one row of docs."""
+    same = [F.col("b.t") == F.col("d.t"), F.col("b.k").eqNullSafe(F.col("d.k"))]
+    repeated = signed.groupBy("k", "t").agg(F.count("*").alias("c")).where("c > 1").alias("d")
+    wanted = nodes.select("node", "at.k", "at.t").join(members.select("node").distinct(), "node", "left_semi").alias("b")
+    wanted = cut(wanted.join(repeated, same, "left").select("node", "b.k", "b.t", F.col("c").isNotNull().alias("again")), "wanted")
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("x"))
+
+    def found(again: str) -> DataFrame:
+        met = wanted.where(again).alias("b").hint("merge").join(texts.alias("d"), same)
+        return met.select("node", F.arrow_udf(_bagger(size), "array<long>")(F.col("x")).alias("bag"))
+
+    out = cut(found("not again"), "bags")
+    if wanted.where("again").isEmpty():
+        return out
+    return cut(out.unionByName(found("again").dropDuplicates(["node"])), "bags")
 
 
 def _alike(overlap: Column, a: str, b: str, threshold: tuple[int, int]) -> Column:
@@ -237,27 +249,38 @@ def _open(live: DataFrame) -> DataFrame:
 
 
 def _possible(rest: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """rest with ``most``, the elements a node shares with any other at most; rows that can't have a partner go."""
-    tokens = bags.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("bag").alias("e"))
+    """(bucket, node, n, root, most, buckets, c): rest without the rows that can't have a partner.
+
+    ``most``: the elements a node shares with any other at most; ``buckets``: all of the node's;
+    ``c``: the rows in the largest of them.
+    """
+    tokens = bags.select("node", F.explode("bag").alias("e"))
     own = tokens.groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own")
     found = rest.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    return cut(found.where(_alike(F.col("most"), "n", "least_n", threshold)).select("bucket", "node", "n", "root", "c", "most"), "possible")
+    found = cut(found.where(_alike(F.col("most"), "n", "least_n", threshold)).select("bucket", "node", "n", "root", "c", "most"), "possible")
+    lists = found.groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.max("c").alias("c"))  # one bucket a band at most
+    return cut(found.drop("c").join(lists, "node"), "possible")
+
 
+def _pairs(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Chosen nodes with their buckets' nodes of other components, where the bounds allow a link.
 
-def _pairs(pivots: DataFrame, rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pivots with the bucket's nodes of other components, where the bounds allow a link; each pair once."""
-    one = pivots.select("bucket", *(F.col(x).alias(f"p_{x}") for x in ("node", "n", "root", "most")))
-    possible = _alike(F.least("p_most", "most", "p_n", "n"), "p_n", "n", threshold)
-    met = one.join(rest.select("bucket", "node", "n", "root", "most"), "bucket").where((F.col("p_root") != F.col("root")) & possible)
-    ends = [F.struct(F.col(f"{x}node").alias("node"), F.col(f"{x}n").alias("n"), F.col(f"{x}root").alias("root")) for x in ("p_", "")]
-    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("g")).distinct()
-    return met.select(F.col("s.node").alias("a"), F.col("s.n").alias("na"), F.col("s.root").alias("ra"), F.col("g.node").alias("b"), F.col("g.n").alias("nb"), F.col("g.root").alias("rb"))
+    A pair comes once: from the first of its common buckets and, of two chosen nodes, from the smaller.
+    """
+    names = ("node", "n", "root", "most", "buckets")
+    one = rest.where("chosen").select("bucket", *(F.col(x).alias(f"p_{x}") for x in names))
+    other = (F.col("p_root") != F.col("root")) & (~F.col("chosen") | (F.col("p_node") < F.col("node")))
+    possible = _alike(F.least("p_most", "most"), "p_n", "n", threshold)
+    first = F.array_min(F.array_intersect("p_buckets", "buckets")) == F.col("bucket")
+    met = one.join(rest.select("bucket", *names, "chosen"), "bucket").where(other & possible & first)
+    return met.select(F.col("p_node").alias("a"), F.col("p_n").alias("na"), F.col("p_root").alias("ra"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
 
 
 def _placed(signed: DataFrame, roots: DataFrame) -> DataFrame:
     named = signed.select("k", "t", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by = named.where("root is not null").groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size"))
+    named = cut(named, "named")
+    by = cut(named.where("root is not null").groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     out = named.join(by, "root", "left")
     alone = F.col("root").isNull()
     return out.select("k", "t", "node", "root", F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
