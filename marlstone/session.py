@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import pickle
 import tempfile
@@ -62,7 +63,7 @@ class Sent:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a temporary one is set.
+    A temporary one is set only where none is named and all runs on one machine, as in tests.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -71,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -83,13 +86,34 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when this Python process ends."""
+_SCOPES: list[list[str]] = []  # the scratch paths of each open scope
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, deleted when its scope ends, or else this Python process.
+
+    With keep it belongs to the scope around the innermost one.
+    """
     path = f"{shared_dir(spark)}/marlstone-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_forget, spark, path)
+    held = _SCOPES[: len(_SCOPES) - keep]
+    if held:
+        held[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
     return path
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Scratch tables that are made inside, without keep, are deleted at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _forget(spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -97,13 +121,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back.
 
     Lost executors then cost no recomputation of what lies before the cut, and everything
-    after it sees one and the same set of rows.
+    after it sees one and the same set of rows. With keep the table outlives the innermost scope.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
