@@ -223,7 +223,10 @@ def judged(
     return F.arrow_udf(_judge(sent, ratio), RESULT)(F.col(text))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that aren't contaminated, with their columns unchanged."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, quotes: bool = True, **how) -> DataFrame:
+    """The documents that aren't ``contaminated``, with their columns unchanged.
+
+    Without quotes those that hold any window of an item go too, however short a part of them it is.
+    """
     kept = docs.withColumn("__judged", judged(docs, benchmark, **how))
-    return kept.where(~F.col("__judged.contaminated")).drop("__judged")
+    return kept.where(~F.col("__judged.contaminated") if quotes else F.col("__judged.n_hit") == 0).drop("__judged")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import words as W
 from marlstone.llm.components import components
-from marlstone.session import cut
+from marlstone.session import cut, scope
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
@@ -165,6 +165,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     (null if all are null). Rows with equal words are of one class, whatever their keys. A null
     text or one without words is a class of its own (node, root null, class_id its key).
     """
+    with scope(docs.sparkSession):
+        return _classes(docs, key, text, size, bands, rows, threshold, pivots)
+
+
+def _classes(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int, threshold: tuple[int, int], pivots: int) -> DataFrame:
     signed = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.arrow_udf(_signer(size, bands, rows), SIGNATURE)(F.col(text)).alias("s"))
     signed = cut(signed.select("k", "t", "s.node", "s.n", "s.bands"), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -279,8 +284,8 @@ def _pairs(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def _placed(signed: DataFrame, roots: DataFrame) -> DataFrame:
     named = signed.select("k", "t", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named, "named")
-    by = cut(named.where("root is not null").groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "sizes")
+    named = cut(named, "named", keep=True)
+    by = cut(named.where("root is not null").groupBy("root").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")), "sizes", keep=True)
     out = named.join(by, "root", "left")
     alone = F.col("root").isNull()
     return out.select("k", "t", "node", "root", F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))

@@ -150,6 +150,8 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert {r[0]: tuple(r)[1:] for r in got} == {i: brute_hits(t, items) for i, t in data}
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == {i for i, t in data if not brute_hits(t, items)[4]}
+    clean = decontaminate.decontaminate(docs, bench, quotes=False, block_bytes=block_bytes)
+    assert {r[0] for r in clean.collect()} == {i for i, t in data if not brute_hits(t, items)[1]}
 
 
 def test_decontamination_without_items(spark, docs, empty):
@@ -406,4 +408,19 @@ def test_pipeline_stages(spark, tmp_path, docs, rows):
     ids = Counter(r.doc_id for r in out)
     assert 10 not in ids and max(ids.values()) <= 2
     assert sorted(r.slot * 8 + r.shard for r in out) == list(range(len(out)))
+    # odd input: names that clash, nulls, repeats, texts that quote the benchmark in passing; empty tables
+    odd = docs.withColumns({"shard": F.lit("x"), "slot": F.lit(9)}).unionByName(docs.where("doc_id < 40").withColumns({"shard": F.lit(None).cast("string"), "slot": F.lit(9)}))
+    quote = docs.where("doc_id = 10").withColumns({"doc_id": F.lit(9999).cast("long"), "text": F.concat(F.lit("own word " * 2000), F.col("text"))})
+    odd.unionByName(quote.withColumns({"shard": F.lit("q"), "slot": F.lit(9)})).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("odd", "none"):
+        for t in ("labels", "benchmark"):
+            part = spark.read.parquet(f"{tmp_path}/{t}.parquet")
+            (part if d == "odd" else part.limit(0)).write.parquet(f"{tmp_path}/{d}/{t}.parquet")
+    again = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert again.columns == [*docs.columns, "shard", "slot"]
+    got = again.collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in odd.collect()} - {10} and len(got) > 20
+    assert sorted(r.slot * 8 + r.shard for r in got) == list(range(len(got)))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dup", "decontaminate", "mixing", "sharding"]
