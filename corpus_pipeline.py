@@ -1,7 +1,8 @@
 """From raw documents to a sharded training mix: five stages over the whole corpus.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as
-Parquet in the shared folder and reads it back as the next one's input.
+Parquet in the shared folder and reads it back as the next one's input. A stage's input and its
+scratch tables are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, mixing, near_dup, sharding, toxicity
-from marlstone.session import cut, table
+from marlstone.session import remove, scope, scratch, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold passages of the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no passage of the benchmark, however long they are."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), quotes=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents of the mix with their shard and slot."""
+    """All documents of the mix with their shard and slot, which replace columns of these names."""
     out = sharding.sharded(docs)
-    return out.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    return out.select(*(c for c in docs.columns if c.lower() not in ("shard", "slot")), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
 STAGES = [
@@ -55,7 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; empty if documents are. Columns beside those of documents are carried along."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
