@@ -140,16 +140,20 @@ def learn(texts: Iterable[tuple[str, str]], seed: int = 0, each: int = SAMPLE_WI
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Network:
-    """Learn from at most sample rows of each language; rows with a null text or lang are left out."""
-    h = F.xxhash64(F.lit(5), F.col(key).cast("string"))
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), h.alias("h"))
+    """Learn from at most sample rows of each language; rows with a null text or lang are left out.
+
+    Rows that agree in key, text and lang are one row, so repeats and shared keys change nothing.
+    """
+    h = F.xxhash64(F.lit(5), F.col(key).cast("string"), F.xxhash64(F.col(text)))
+    told = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = told.select(F.col(lang).alias("l"), h.alias("h"))
     # a few times as many rows as are wanted, by hash, so that no language's rows meet in one task
     many = rows.groupBy("l").agg(F.count("*").alias("n"))  # a row a class of the model
     share = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
-    rows = rows.join(F.broadcast(many), "l").where(share < F.lit(4.0 * sample) / F.col("n"))
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= sample).select("k", "l", "h")
-    texts = labelled.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(best), "k").orderBy("h", "k", "t")
-    return learn((r.t, r.l) for r in texts.select("t", "l").toLocalIterator())
+    rows = rows.join(F.broadcast(many), "l").where(share < F.lit(4.0 * sample) / F.col("n")).select("l", "h").distinct()
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample).select("l", "h")
+    texts = told.select(F.col(text).alias("t"), F.col(lang).alias("l"), h.alias("h")).join(F.broadcast(best), ["l", "h"]).dropDuplicates(["l", "h"])
+    return learn((r.t, r.l) for r in texts.orderBy("h", "l").select("t", "l").toLocalIterator())
 
 
 def _predict(net):

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 from marlstone.llm.suffixes import SUFFIXES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,8 +95,8 @@ def reputation(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_
                suffixes=SUFFIXES, z: float = Z, limit: float = LIMIT) -> DataFrame:
     """(host, domain, suffix, mean, bound, blocked), a row a host of pages.
 
-    labels are page outcomes that meet pages by key; each label row is one outcome, a null
-    outcome none. Counts are combined before they are shuffled, so a hot host costs no more.
+    labels are page outcomes that meet pages by key, which is taken on trust; each label row is one
+    outcome, a null outcome none. Counts are combined before they are shuffled, so a hot host costs no more.
     """
     bad = (F.col("toxic") > 0) | (F.col("quality") <= 0) if bad is None else bad
     host = host_of(F.col(url))
@@ -103,13 +105,14 @@ def reputation(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_
     told = seen.join(marks, "key").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = seen.select("host").distinct().join(told, "host", "left").na.fill(0, ["n", "bad"])
     suffix, domain = registered(F.col("host"), suffixes)
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # counts by host and by domain are read several times: written once, pages are scanned for them once
+    hosts = cut(hosts.withColumns({"suffix": suffix, "domain": domain}), "hosts")
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("all", F.lit(1))
     # Jeffreys' half counts keep the overall rate off 0 and 1
     whole = suffixes.groupBy("all").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
-    by_suffix = _level(suffixes, "suffix", whole, "all")
-    by_domain = _level(domains, "domain", by_suffix, "suffix")
+    by_suffix = cut(_level(suffixes, "suffix", whole, "all"), "suffixes")
+    by_domain = cut(_level(domains, "domain", by_suffix, "suffix"), "domains")
     by_host = _level(hosts.drop("suffix"), "host", by_domain, "domain")
     total = F.col("a") + F.col("b")
     bound = F.col("mean") - z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))

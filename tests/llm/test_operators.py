@@ -374,6 +374,20 @@ def test_language_on_tables(docs, empty):
     assert {r[0] for r in docs.select(langid.predicted(docs, nothing)["lang"]).collect()} == {"und"}
 
 
+def test_language_training_takes_each_row_as_it_is(spark):
+    """Repeated ids whose other rows lack a text or a language, and repeated rows."""
+    text = {"en": "the cat sat on the mat and looked at it", "fr": "le chat était assis sur le tapis et voilà"}
+    data = [(i, f"{text[x]} {i}", x) for i in range(40) for x in (("en", "fr")[i % 2],)]
+    odd = [(i, None, "en") for i in range(10)] + [(i, f"{text['en']} other", None) for i in range(10)] + data[:5] * 3 + [(None, text["fr"], "fr")]
+    seen = []
+    real, langid.learn = langid.learn, lambda texts, **how: seen.append(sorted(texts)) or real([("a b", "en"), ("c d", "fr")], **how)
+    try:
+        langid.train(spark.createDataFrame(data + odd, "doc_id long, text string, lang string"))
+    finally:
+        langid.learn = real
+    assert seen[0] == sorted([(t, x) for _, t, x in data] + [(text["fr"], "fr")])
+
+
 def test_html_on_tables(spark):
     from tests.llm.test_words_and_models import page
 
