@@ -14,6 +14,13 @@ NO_RESULT = "Operation completed without results"  # fixed text
 _KINDS = {int: ("bigint", "integer"), float: ("double", "number"), str: ("string", "string"), bool: ("boolean", "boolean")}
 
 
+def _null_safe(f: Callable) -> Callable:
+    def run(*args):
+        return None if any(a is None for a in args) else f(*args)
+
+    return run
+
+
 @dataclass
 class Registry:
     """Tools by name. A tool is a Python function whose parameters and result are int, float, str or bool."""
@@ -40,7 +47,7 @@ class Registry:
         """All tools as SQL functions (Arrow-batched)."""
         for name, f in self.tools.items():
             kind = _KINDS[inspect.signature(f, eval_str=True).return_annotation][0]
-            spark.udf.register(name, F.udf(f, kind, useArrow=True))
+            spark.udf.register(name, F.udf(_null_safe(f), kind, useArrow=True))
 
     def call(self, name: str, arguments: dict):
         if name not in self.tools:
@@ -48,6 +55,27 @@ class Registry:
         return normalised(self.tools[name](**arguments))
 
 
+    def dispatched(self, spark: SparkSession, name: Column, arguments: Column) -> Column:
+        """Calls as data: the tool named in each row on its JSON arguments; the result as text.
+
+        Null for a null name; a message for an unknown tool and for arguments that don't fit.
+        """
+        self.register(spark)
+        out = F.when(name.isNotNull(), F.concat(F.lit("unknown tool "), name))
+        for tool, f in self.tools.items():
+            params = inspect.signature(f, eval_str=True).parameters
+            schema = ", ".join(f"{k} {_KINDS[p.annotation][0]}" for k, p in params.items())
+            given = F.from_json(F.when(name == tool, arguments), schema or "none string")
+            args = [given[k] for k in params]
+            fits = given.isNotNull()
+            for a in args:
+                fits = fits & a.isNotNull()
+            # other rows' calls get null arguments
+            answer = F.coalesce(F.call_function(tool, *args).cast("string"), F.lit(NO_RESULT))
+            out = F.when(name == tool, F.when(fits, answer).otherwise(F.lit(f"arguments don't fit {tool}"))).otherwise(out)
+        return out
+
+
 def normalised(result) -> str:
     """A tool's result as text: None, lists, records, others."""
     import json

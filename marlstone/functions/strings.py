@@ -7,6 +7,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _places(b: str) -> dict[str, int]:
+    """Each character's places in b, a bit a place."""
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    return at
+
+
 def _jaro(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0
@@ -14,17 +22,15 @@ def _jaro(a: str, b: str) -> float:
     if not n or not m:
         return 0.0
     reach = max(0, max(n, m) // 2 - 1)
-    used = [False] * m
-    hits = []
+    at, window, free, hits = _places(b), (1 << 2 * reach + 1) - 1, (1 << m) - 1, []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
+        near = window << i - reach if i >= reach else window >> reach - i
+        if met := at.get(c, 0) & free & near:
+            free ^= met & -met  # the first free place
+            hits.append(c)
     if not hits:
         return 0.0
-    moved = sum(x != y for x, y in zip(hits, (b[j] for j in range(m) if used[j]), strict=True)) // 2
+    moved = sum(x != y for x, y in zip(hits, (b[j] for j in range(m) if not free >> j & 1), strict=True)) // 2
     k = len(hits)
     return (k / n + k / m + (k - moved) / k) / 3
 
@@ -46,12 +52,12 @@ def _indel_ratio(a: str | None, b: str | None) -> float | None:
         return None
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
+    at, every = _places(b), (1 << len(b)) - 1
+    row = every  # bit-parallel longest common subsequence: a zero bit for each of its characters
     for c in a:
-        last = 0
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+        met = row & at.get(c, 0)
+        row = (row + met | row - met) & every
+    return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
 def _pairwise(f):

@@ -107,3 +107,26 @@ def label_of(text: Column, words: dict[str, str], fallback: str = "review") -> C
     for w, c in words.items():
         out = F.when(found == w.lower(), c).otherwise(out)
     return out
+
+
+def dropout(df: DataFrame, key: str, x: str, weights: list[float], keep: float, passes: int, seed: int = 0) -> DataFrame:
+    """(key, mean, variance) of a linear score over passes random masks: each input is kept with probability keep and divided by it.
+
+    Masks come from the MD5 of seed, key, pass and input, so that reruns agree.
+    """
+    at = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("pass").cast("string"))
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat(at, F.lit("|"), i.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    w = F.array(*[F.lit(float(c)) for c in weights])
+    terms = F.transform(F.zip_with(x, w, lambda a, b: a * b), lambda t, i: F.when(drawn(i) < keep, t / keep).otherwise(0.0))
+    runs = df.select(key, x, F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass")).select(key, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("z"))
+    return runs.groupBy(key).agg(F.avg("z").alias("mean"), F.var_pop("z").alias("variance"))
+
+
+def unigram_bits(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, n, bits): bits of each text by a model of single characters learnt from all texts, add-one smoothed."""
+    chars = df.select(*key, F.explode(F.split(text, "")).alias("c")).where("c <> ''").groupBy(*key, "c").agg(F.count("*").alias("k"))
+    model = chars.groupBy("c").agg(F.sum("k").alias("t"))
+    whole = model.agg(F.sum("t").alias("all"), F.count("*").alias("kinds"))
+    p = (F.col("t") + 1) / (F.col("all") + F.col("kinds"))
+    model = model.crossJoin(F.broadcast(whole)).select("c", (-F.log2(p)).alias("b"))  # whole is one row
+    return chars.join(model, "c").groupBy(*key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("b")).alias("bits"))

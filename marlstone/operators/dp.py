@@ -60,6 +60,7 @@ def sweep_values(transitions: DataFrame, policy: DataFrame | None = None, gamma:
     """(s, v) by synchronous sweeps until no value moves by theta: of a policy (s, action, prob), or the best.
 
     Several sweeps run as one plan; then values are written to the shared folder and compared.
+    Fails if they still move after most sweeps.
     """
     values = transitions.select("s").distinct().withColumn("v", F.lit(0.0))
     moves = cut(transitions if policy is None else transitions.join(policy, ["s", "action"]), "moves")
@@ -69,9 +70,9 @@ def sweep_values(transitions: DataFrame, policy: DataFrame | None = None, gamma:
             last, values = values, _sweep(moves, values, policy is not None, gamma)
         both = cut(values.join(last.withColumnRenamed("v", "w"), "s"), "values")
         values = both.select("s", "v")
-        if both.agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < theta:
-            break
-    return values
+        if (both.agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] or 0.0) < theta:
+            return values
+    raise RecursionError(f"values still move by {theta} or more after {most} sweeps")
 
 
 def _sweep(moves: DataFrame, values: DataFrame, averaged: bool, gamma: float) -> DataFrame:
@@ -81,11 +82,12 @@ def _sweep(moves: DataFrame, values: DataFrame, averaged: bool, gamma: float) ->
     return joined.groupBy("s").agg((F.sum(F.col("prob") * q) if averaged else F.max(q)).alias("v"))
 
 
-def solve(transitions: DataFrame, gamma: float = 1.0, sweeps: int = 200) -> DataFrame:
+def solve(transitions: DataFrame, gamma: float = 1.0, sweeps: int = 200, theta: float = THETA) -> DataFrame:
     """(s, v) by value iteration in one plan, for a state space that fits in one row (a stated, checked 4096 states).
 
     With a column prob the values are those of that policy instead of the best. The transitions
-    are packed by state and swept in the JVM; no job, shuffle or Python a sweep.
+    are packed by state and swept in the JVM; no job, shuffle or Python a sweep. A query of it
+    fails if one more sweep would move a value by theta or more.
     """
     n = transitions.agg(F.max("s")).first()[0]
     if n is None or n > 4095:
@@ -101,6 +103,8 @@ def solve(transitions: DataFrame, gamma: float = 1.0, sweeps: int = 200) -> Data
         return F.transform("rows", lambda row: F.array_max(F.transform(row["m"], q)))
 
     out = packed.withColumn("v", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.transform("rows", lambda r: F.lit(0.0)), lambda acc, _: swept(acc)))
+    moved = F.array_max(F.zip_with("v", swept(F.col("v")), lambda a, b: F.abs(a - b)))
+    out = out.withColumn("v", F.when(moved < theta, F.col("v")).otherwise(F.raise_error(F.lit(f"values still move by {theta} or more after {sweeps} sweeps")).cast("array<double>")))
     return out.select(F.inline(F.arrays_zip(F.transform("rows", lambda r: r["s"]).alias("s"), "v")))
 
 
@@ -119,9 +123,9 @@ def policy_iteration(transitions: DataFrame, gamma: float = 1.0, most: int = 50,
         better = cut(greedy(q_values(transitions, values, gamma)), "policy")
         now = better.agg(F.sum(F.xxhash64("s", "action").cast("decimal(20,0)"))).first()[0]
         if now == held:
-            break
+            return values, better
         held, policy = now, better.withColumn("prob", F.lit(1.0))
-    return values, better
+    raise RecursionError(f"the policy still changes after {most} rounds")
 
 
 def rendered(policy: DataFrame, cols: int, stop: list[int], symbols: str = "^v<>") -> DataFrame:

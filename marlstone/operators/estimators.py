@@ -37,6 +37,32 @@ def ppi_mean(labelled: DataFrame, unlabelled: DataFrame, y: str, f: str, z: floa
     )
 
 
+def ppi_tuned_mean(labelled: DataFrame, unlabelled: DataFrame, y: str, f: str, z: float = Z95) -> DataFrame:
+    """Power-tuned mean: my + lam (mf_unlabelled - mf_labelled), lam of least variance, with its interval.
+
+    lam = cov(y, f) / ((1 + n / N) var f over both); 0 is the classical mean, 1 the prediction-powered one.
+    """
+    a = labelled.agg(F.count(y).alias("n"), F.avg(y).alias("my"), F.avg(f).alias("ml"), F.covar_samp(y, f).alias("c"), F.var_samp(y).alias("vy"), F.var_samp(f).alias("vl"))
+    b = unlabelled.agg(F.count(f).alias("n_unlabelled"), F.avg(f).alias("mu"))
+    v = labelled.select(f).unionByName(unlabelled.select(f)).agg(F.var_samp(f).alias("vf"))
+    both = a.crossJoin(b).crossJoin(v)  # one row each
+    lam = F.col("c") / ((1 + F.col("n") / F.col("n_unlabelled")) * F.col("vf"))
+    both = both.withColumn("lam", F.coalesce(F.when(F.col("vf") > 0, lam), F.lit(0.0)))
+    L = F.col("lam")
+    se = F.sqrt((F.col("vy") - 2 * L * F.col("c") + L * L * F.col("vl")) / F.col("n") + L * L * F.col("vf") / F.col("n_unlabelled"))
+    theta = F.col("my") + L * (F.col("mu") - F.col("ml"))
+    return both.select("n", "n_unlabelled", "lam", theta.alias("theta"), se.alias("se"), (theta - z * se).alias("ci_lo"), (theta + z * se).alias("ci_hi"))
+
+
+def design_weights(population: DataFrame, sample: DataFrame, by: list[str] | None = None, name: str = "w") -> DataFrame:
+    """sample with the weight N / n of its stratum (of everything without by), from the counts of both."""
+    by = by or []
+    N, n = population.groupBy(*by).agg(F.count("*").alias("__N")), sample.groupBy(*by).agg(F.count("*").alias("__n"))
+    both = N.join(n, by) if by else N.crossJoin(n)  # a row a stratum
+    out = sample.join(both, by) if by else sample.crossJoin(F.broadcast(both))
+    return out.withColumn(name, F.col("__N") / F.col("__n")).drop("__N", "__n")
+
+
 # --- Design-based totals. Every function makes one pass over the population U and one over the
 # --- sample S and joins two one-row results.
 

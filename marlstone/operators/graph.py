@@ -2,7 +2,9 @@
 
 A compiled graph runs rows from START to END. A node gets the rows that are routed to it and
 returns them changed; a conditional edge is a Column that names the next node of each row. Rows
-may loop; each super-step runs every node that has rows, and may be logged (thread, step, node).
+may loop; each super-step runs every node that has rows, and several functions may work on the
+same rows in one super-step (parallel). Rows are written to the shared folder after each
+super-step, so a step runs once and plans don't grow; checkpoints() keeps those tables by step.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import cut
+
 START, END = "__start__", "__end__"
 
 
@@ -29,6 +33,26 @@ class Graph:
         self.nodes[name] = f
         return self
 
+    def parallel(self, name: str, fs: list[Callable[[DataFrame], DataFrame]], key: str, columns: list[list[str]], reducers: dict[str, Callable[..., Column]] | None = None) -> Graph:
+        """A node of several functions that all get the same rows, in one super-step.
+
+        columns: what each function sets. A column set by more than one needs a reducer of its
+        values, in the functions' order. Rows meet by key again, which has to be unique in them.
+        """
+        reducers, every = reducers or {}, {c for cs in columns for c in cs}
+        if twice := {c for c in every if sum(c in cs for cs in columns) > 1} - set(reducers):
+            raise ValueError(f"{name}: no reducer for {sorted(twice)}")
+
+        def run(df: DataFrame) -> DataFrame:
+            out = df
+            for i, (f, cs) in enumerate(zip(fs, columns, strict=True)):
+                out = out.join(f(df).select(key, *[F.col(c).alias(f"__{i}_{c}") for c in cs]), key)
+            found = {c: [F.col(f"__{i}_{c}") for i, cs in enumerate(columns) if c in cs] for c in sorted(every)}
+            out = out.withColumns({c: reducers[c](*v) if c in reducers else v[0] for c, v in found.items()})
+            return out.drop(*[f"__{i}_{c}" for i, cs in enumerate(columns) for c in cs])
+
+        return self.node(name, run)
+
     def edge(self, a: str, b: str) -> Graph:
         return self._edge(a, b, [b])
 
@@ -75,7 +99,7 @@ class Graph:
 
         before: nodes at which rows stop until they are passed to resume().
         """
-        rows = self._routed(rows, START)
+        rows = cut(self._routed(rows, START), "step")
         for step in range(most):
             yield step, rows
             waiting = rows.where(F.col("__at") != END)
@@ -92,6 +116,14 @@ class Graph:
         for n in sorted(names):
             done = self._routed(self.nodes[n](rows.where(F.col("__at") == n).drop("__at")), n)
             out = out.unionByName(done, allowMissingColumns=True)
+        return cut(out, "step")
+
+    def checkpoints(self, rows: DataFrame, most: int = 25, before: set[str] | None = None) -> DataFrame:
+        """The rows after every super-step, with ``step`` and ``__at``: each thread's states in order."""
+        out = None
+        for step, now in self.steps(rows, most, before):
+            now = now.withColumn("step", F.lit(step))
+            out = now if out is None else out.unionByName(now, allowMissingColumns=True)
         return out
 
     def invoke(self, rows: DataFrame, most: int = 25) -> DataFrame:

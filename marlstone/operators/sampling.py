@@ -19,6 +19,12 @@ def fold(key: str, k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
 
 
+def uniform(*key: str, seed: int = 0) -> Column:
+    """A number in [0, 1) by row, the same wherever it is computed: 32 bits of the MD5 of seed and key."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
 def weighted_choice(u: Column, values: list, weights: list[float]) -> Column:
     """The value whose share of [0, 1) has u."""
     total, upto, out = sum(weights), sum(weights), F.lit(values[-1])

@@ -55,20 +55,31 @@ def value_iteration_packed(spark, d):
     return rounded(dp.solve(dp.walk_grid(spark)), 6)
 
 
-@_query("cliff_values")
+def _sweeps(sql: str, update: str, sweeps: int) -> str:
+    """SQL for the values after a number of synchronous sweeps, as v(s, v)."""
+    return sql + f""", w(k, s, v) as (select 0, s, 0.0::double from (select distinct s from m) union all
+  select k + 1, m.s, {update} from m join w on w.s = m.t where k < {sweeps} group by k + 1, m.s),
+v as (select s, v from w where k = {sweeps})
+"""
+
+
+_BEST = ", q as (select m.s, action, reward + 0.9 * v q from m join v on v.s = m.t), b as (select *, max(q) over (partition by s) b from q), p as (select s, min(action) action from b where abs(q - b) < 1e-8 group by s)"
+
+
+@_query("cliff_values", _sweeps(_CLIFF, "max(reward + 0.9 * w.v)", 200) + "select s, round(v, 6) v from v")
 def cliff_values(spark, d):
     return rounded(dp.solve(dp.cliff_grid(spark), gamma=0.9), 6)
 
 
-@_query("policy_evaluation")
+@_query("policy_evaluation", _sweeps(_WALK, "sum(0.25 * (reward + w.v))", 400) + "select s, round(v, 4) v from v")
 def policy_evaluation(spark, d):
     return rounded(dp.solve(dp.walk_grid(spark).withColumn("prob", F.lit(0.25)), sweeps=400), 4)
 
 
-@_query("policy_iteration")
+@_query("policy_iteration", _sweeps(_WALK, "max(reward + 0.9 * w.v)", 200) + _BEST + "select s, round(v, 6) v, action from v join p using (s)")
 def policy_iteration(spark, d):
     values, policy = dp.policy_iteration(dp.walk_grid(spark), gamma=0.9)
-    return values.join(policy, "s")
+    return rounded(values.join(policy, "s"), 6)
 
 
 @_query("greedy_policy", _WALK + """, v as (select i s, case when i in (0, 15) then 0 else 1 - least(i // 4 + i % 4, 6 - i // 4 - i % 4) end v from range(16) r(i)),
@@ -79,7 +90,10 @@ def greedy_policy(spark, d):
     return dp.greedy(dp.q_values(t, dp.solve(t), 1.0))
 
 
-@_query("policy_grid")
+@_query("policy_grid", _WALK + """, v as (select i s, case when i in (0, 15) then 0 else 1 - least(i // 4 + i % 4, 6 - i // 4 - i % 4) end v from range(16) r(i)),
+q as (select m.s, action, reward + v q from m join v on v.s = m.t), b as (select *, max(q) over (partition by s) b from q),
+g as (select s, min(action) action from b where abs(q - b) < 1e-8 group by s)
+select cast(s // 4 as bigint) "row", string_agg(case when s in (0, 15) then '*' else (['^','v','<','>'])[action + 1] end, ' ' order by s) line from g group by s // 4""")
 def policy_grid(spark, d):
     return dp.rendered(greedy_policy(spark, d), 4, [0, 15])
 
@@ -290,13 +304,6 @@ def workflow(spark, d):
     return g.invoke(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(None).cast("int").alias("steps"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("int").alias("secret")))
 
 
-def _streamed(spark, make, mode: str, name: str):
-    """Run a stream over all that is there now and return its result table."""
-    q = make().writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def _source(spark, d, name: str):
     """A table as a stream of its files: a folder of them, or one file picked out of its folder."""
     t = table(spark, d, name)
@@ -312,20 +319,20 @@ def _source(spark, d, name: str):
 @_query("stream_messages", """select conv_id, turn % 3 ident, min(turn) "position", arg_max(text, turn) text from conversations group by conv_id, turn % 3""")
 def stream_messages(spark, d):
     make = lambda: streams.latest_messages(_source(spark, d, "conversations").withColumn("ident", F.col("turn") % 3), "conv_id", "ident", "turn", "text")
-    return _streamed(spark, make, "complete", "stream_messages_out")
+    return streams.finished(make(), "complete").drop("batch")
 
 
 @_query("stream_windows", """select date_trunc('hour', ts) "start", date_trunc('hour', ts) + interval 1 hour "end", event_type, count(*) n, round(sum(value), 4) total from events group by all""")
 def stream_windows(spark, d):
     """An extension: hourly windows by event time (all rows of a complete run)."""
     make = lambda: streams.windowed(_source(spark, d, "events"), "ts", "event_type", "value")
-    out = _streamed(spark, make, "complete", "stream_windows_out")
+    out = streams.finished(make(), "complete")
     return out.select(F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @_query("incremental_means", "select user_id, count(value) n, round(avg(value) + 1e-9, 5) mean from events group by user_id")
 def incremental_means(spark, d):
     make = lambda: streams.incremental_means(_source(spark, d, "events").select("user_id", "value"), "user_id", "value")
-    out = _streamed(spark, make, "update", "incremental_means_out")
+    out = streams.finished(make(), "update")
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc()))
     return out.withColumn("r", last).where("r = 1").select("user_id", "n", F.round(F.col("mean") + 1e-9, 5).alias("mean"))

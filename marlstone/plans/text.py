@@ -33,7 +33,12 @@ def jaro_winkler(spark, d):
     return p.select("p_partkey", F.round(strings.jaro_winkler(a, b), 9).alias("jw"), F.round(strings.jaro_winkler(a, b, True), 9).alias("jw_lower"))
 
 
-@_query("indel_ratio")
+@_query("indel_ratio", """
+with recursive p as (select p_partkey, string_split(p_name, '') a, string_split(p_type, '') b from part),
+r(p_partkey, i, w) as (select p_partkey, 0, list_transform(b, lambda x: 0) from p union all
+  select p.p_partkey, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when a[i + 1] = b[k] then 1 + coalesce(w[k - 1], 0) else w[k] end)))
+  from r join p using (p_partkey) where i < len(a))
+select p_partkey, round(2 * w[len(b)] / (len(a) + len(b)), 9) ratio from r join p using (p_partkey) where i = len(a)""")
 def indel_ratio(spark, d):
     p = table(spark, d, "part")
     return p.select("p_partkey", F.round(strings.indel_ratio(F.col("p_name"), F.col("p_type")), 9).alias("ratio"))

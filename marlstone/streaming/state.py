@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+
+from marlstone.session import scratch
 
 
 def incremental_means(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, mean) after each batch that touches the key, updated as v += (x - v) / n."""
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean = state.get if state.exists else (0, 0.0)
-        for pdf in frames:
-            for x in pdf[value].dropna():
-                n += 1
-                mean += (float(x) - mean) / n
-        state.update((n, mean))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean]})
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, mean double", "n long, mean double", "update", GroupStateTimeout.NoTimeout)
+    """(key, n, mean) after each batch that touches the key, in update mode. Native state: a count and a sum."""
+    return stream.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+
+
+def finished(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives for what is there now: of complete mode the last result, of others every row with its ``batch``.
+
+    Results, offsets and state go to the shared folder.
+    """
+    spark = stream.sparkSession
+    out, offsets, batches = scratch(spark, "stream"), scratch(spark, "offsets"), []
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/at={batch}")  # a repeated batch replaces itself
+        batches.append(batch)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema = stream.schema.add("batch", T.IntegerType())
+    if not batches:
+        return spark.createDataFrame([], schema)
+    held = [max(batches)] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(schema).parquet(*[f"{out}/at={b}" for b in held])
 
 
 def latest_messages(stream: DataFrame, conv: str, ident: str, order: str, text: str) -> DataFrame:
