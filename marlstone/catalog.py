@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["marlstone.plans.ppi", "marlstone.plans.models", "marlstone.plans.text", "marlstone.plans.control"]
+MODULES = ["marlstone.plans.ppi", "marlstone.plans.models", "marlstone.plans.text", "marlstone.plans.control", "marlstone.plans.records"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

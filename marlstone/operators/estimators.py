@@ -57,10 +57,10 @@ def ppi_tuned_mean(labelled: DataFrame, unlabelled: DataFrame, y: str, f: str, z
 def design_weights(population: DataFrame, sample: DataFrame, by: list[str] | None = None, name: str = "w") -> DataFrame:
     """sample with the weight N / n of its stratum (of everything without by), from the counts of both."""
     by = by or []
-    N, n = population.groupBy(*by).agg(F.count("*").alias("__N")), sample.groupBy(*by).agg(F.count("*").alias("__n"))
+    N, n = population.groupBy(*by).agg(F.count("*").alias("__all")), sample.groupBy(*by).agg(F.count("*").alias("__some"))
     both = N.join(n, by) if by else N.crossJoin(n)  # a row a stratum
     out = sample.join(both, by) if by else sample.crossJoin(F.broadcast(both))
-    return out.withColumn(name, F.col("__N") / F.col("__n")).drop("__N", "__n")
+    return out.withColumn(name, F.col("__all") / F.col("__some")).drop("__all", "__some")
 
 
 # --- Design-based totals. Every function makes one pass over the population U and one over the

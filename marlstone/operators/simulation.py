@@ -34,8 +34,9 @@ def _bet(policy: str, capital: int, goal: int) -> int:
 def gamblers(starts: DataFrame, goal: int, p: float, policy: str = "1", seed: int = 0, steps: int = 100_000) -> DataFrame:
     """starts: (episode, start). One row for each step: (episode, t, state, action, reward).
 
-    The last row's action is null, its reward 1 at the goal. policy: the bet, or ``all``. An
-    episode still open after steps bets ends there with reward 0.
+    The last row's action is null, its reward 1 at the goal, 0 at nothing. policy: the bet, or
+    ``all``. An episode still open after steps bets has a null reward there, so its returns are
+    null and means leave it out.
     """
 
     def run(frames):
@@ -48,9 +49,9 @@ def gamblers(starts: DataFrame, goal: int, p: float, policy: str = "1", seed: in
                     out.append((episode, t, capital, bet, 0))
                     capital += bet if rng.random() < p else -bet
                     t += 1
-                out.append((episode, t, capital, None, int(capital == goal)))
+                out.append((episode, t, capital, None, None if 0 < capital < goal else int(capital == goal)))
             frame = pd.DataFrame(out, columns=["episode", "t", "state", "action", "reward"])
-            yield frame.astype({"action": "Int64"})
+            yield frame.astype({"action": "Int64", "reward": "Int64"})
 
     return starts.select(F.col("episode").cast("long"), F.col("start").cast("long")).mapInPandas(run, "episode long, t long, state long, action long, reward long")
 
@@ -63,9 +64,9 @@ def win_rates(spark: SparkSession, goal: int, p: float, trials: int, policy: str
 
 
 def returns(episodes: DataFrame) -> DataFrame:
-    """episodes with g, the rewards from each step on."""
+    """episodes with g, the rewards from each step on; null if one of them is."""
     w = Window.partitionBy("episode").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    return episodes.withColumn("g", F.sum("reward").over(w))
+    return episodes.withColumn("g", F.when(F.bool_and(F.col("reward").isNotNull()).over(w), F.sum("reward").over(w)))
 
 
 def last_visits(episodes: DataFrame) -> DataFrame:

@@ -184,6 +184,26 @@ def _learner(kind):
 QUERIES["sarsa_policy"], QUERIES["q_learning_policy"] = _learner("sarsa"), _learner("q_learning")
 
 
+@_query("simulation_checks", """select * from (values ('bandit epsilon finds the best arm'), ('bandit thompson finds the best arm'), ('bandit ucb finds the best arm'), ('coins are fair'), ('gambler wins as often as start / goal'), ('monte carlo values are start / goal'), ('normal mean and deviation'), ('q learning goes the shortest safe way')) t("check") cross join (select true holds)""")
+def simulation_checks(spark, d):
+    """Seeded simulations against what theory says of them, within four standard errors."""
+    rates = S.win_rates(spark, 10, 0.5, 400, seed=1).agg(F.bool_and(F.abs(F.col("rate") - F.col("state") / 10) < 4 * F.sqrt(F.lit(0.25 / 400))))
+    values = mc_prediction(spark, d).agg(F.bool_and(F.abs(F.col("v") - F.col("state") / 10) < 4 * F.sqrt(F.lit(0.25) / 200)))
+    coins = S.coins(spark, 100, 50, seed=8).agg(F.abs(F.avg("head") - 0.5) < 4 * 0.5 / 5000**0.5)
+    normal = S.gaussians(spark, 20000, 5.0, 2.0, seed=9).agg((F.abs(F.avg("x") - 5) < 8 / 20000**0.5) & (F.abs(F.stddev("x") - 2) < 8 / 40000**0.5))
+    checks = {"gambler wins as often as start / goal": rates, "monte carlo values are start / goal": values, "coins are fair": coins, "normal mean and deviation": normal}
+    for kind in ("epsilon", "thompson", "ucb"):
+        checks[f"bandit {kind} finds the best arm"] = QUERIES[f"bandit_{kind}"](spark, d).agg(F.max_by("arm", "pulls") == F.max_by("arm", "mean"))
+    # the goal is 3 right of the start on the top row; the cliff lies below
+    way = QUERIES["q_learning_policy"](spark, d).where("s in (0, 1, 2)").agg(F.bool_and(F.col("action") == 3))
+    checks["q learning goes the shortest safe way"] = way
+    out = None
+    for name, df in checks.items():
+        row = df.toDF("holds").select(F.lit(name).alias("check"), "holds")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @_query("mc_control")
 def mc_control(spark, d):
     return S.mc_control(spark, 4, 10, 0.4, 500, seed=7).groupBy("state", "action").agg(F.avg("q").alias("q"))

@@ -53,7 +53,7 @@ def _entities(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
     nxt = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("other"))
     p, q = L.rule_variants(F.col("s_name"), F.col("other"))
-    return s.join(nxt, "s_suppkey").select("*", p.alias("p"), q.alias("q"))
+    return s.join(nxt, "s_suppkey", "left").select("*", p.alias("p"), q.alias("q"))  # the last has no other, so no negative variants
 
 
 _LINK = """

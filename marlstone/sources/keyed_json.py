@@ -20,7 +20,7 @@ def read(spark: SparkSession, path: str, record: str = RECORD) -> DataFrame:
     empty = spark.createDataFrame([], f"id string, r struct<{record}>, path string").select("id", "r.*", "path")
     if not _exists(spark, path):
         return empty
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     held = F.from_json("value", f"map<string, struct<{record}>>")
     return text.select("path", F.explode(held).alias("id", "r")).select("id", "r.*", "path")
 
@@ -35,10 +35,10 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write(df: DataFrame, path: str, key: str = "id") -> None:
-    """One document a partition, each record under its key (sorted); a fresh path, never one that is being read."""
+    """One file a partition, each record under its key (sorted); a fresh path, never one that is being read."""
     fields = [c for c in df.columns if c not in (key, "path")]
     part = df.groupBy(F.spark_partition_id().alias("p")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*fields).alias("r"))))).alias("m"))
-    part.select(F.to_json("m", {"pretty": "true"})).write.text(path)
+    part.select("p", F.to_json("m", {"pretty": "true"}).alias("value")).write.partitionBy("p").text(path)
 
 
 def lookup(rows: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:

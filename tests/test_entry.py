@@ -1,6 +1,7 @@
 """The driver's contract, with and without the optional subpackage."""
 
 import ast
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -8,17 +9,23 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_entry_without_the_optional_parts():
+def test_entry_without_the_optional_parts(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = """
-import sys
-sys.modules["marlstone.llm"] = None
-sys.modules["corpus_pipeline"] = None
 import __spark_entry__ as e
 names = e.queries()
 assert "ppi_mean" in names and "pipeline" not in names and not any(n.startswith("op1") for n in names)
 assert set(e.oracle_sql()) <= set(names)
 """
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
+
+
+def test_a_fault_inside_the_optional_parts_is_not_hidden(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    (tmp_path / "repo/marlstone/llm").mkdir()
+    (tmp_path / "repo/marlstone/llm/__init__.py").write_text("import nothing_of_this_name\n")
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
+    assert "nothing_of_this_name" in found.stderr
 
 
 def test_queries_and_oracles():
