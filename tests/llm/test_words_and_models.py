@@ -155,6 +155,27 @@ def test_mtree_is_exact_and_leaves_work_out():
     assert np.mean(seen) < 1500
 
 
+def test_cells_that_cannot_reach_the_best_stay_closed():
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(40, 16)) * 60
+    x = np.floor(middles[np.arange(4000) % 40] + rng.normal(size=(4000, 16)) * 3)
+    ids = np.arange(4000) * 3
+    centers = mtree.pivots_of(x[:500], 40)
+    cell = ((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
+    radii = np.array([np.sqrt(((x[cell == c] - p) ** 2).sum(1).max()) for c, p in enumerate(centers)])
+    trees = lambda c: (mtree.build(ids[part], x[part], page=16) for part in np.array_split(np.flatnonzero(cell == c), 2))  # noqa: E731 - two shards a cell
+    asked = np.flatnonzero(ids % 50 == 0)
+    seen, opened, alone = [], [], []
+    got = mtree.answers(ids[asked].tolist(), x[asked], centers, radii, trees, 5, seen, opened)
+    for i, found in zip(asked, got, strict=True):
+        order = sorted((-int(s), int(j)) for s, j in zip(x @ x[i], ids, strict=True) if j != ids[i])[:5]
+        assert [(-s, j) for s, j in found] == order
+        one: list[int] = []
+        mtree.answers([int(ids[i])], x[i : i + 1], centers, radii, trees, 5, None, one)
+        alone.append(len(one))
+    assert sum(seen) < 0.25 * len(asked) * 4000 and np.mean(alone) < 0.4 * len(centers)
+
+
 def test_mtree_small_and_equal():
     x = np.repeat([[1.0, 2.0]], 400, 0)
     pages = mtree.build(np.arange(400), x, page=16)
