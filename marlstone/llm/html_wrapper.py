@@ -23,13 +23,15 @@ tables in the shared folder, cut into files by a hash of the host, that tasks re
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import html
 import pickle
 import re
+import sys
 import uuid
 import zlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,8 @@ from marlstone.session import cut, scratch
 
 SAMPLE = 12
 FILES = 256
-GROUP = 6  # longest run of tags looked at for repeated groups
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")  # any attribute, so that values aren't read as names
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
@@ -107,11 +108,60 @@ def _open(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     return label, bad
 
 
+class Tags:
+    """The tags of a page in turn, in linear time whatever the markup: (start, end, name, closing, attributes).
+
+    Name None: a comment or declaration. A tag ends at the first > outside quotes or, where a quote
+    isn't closed, at the first >; a < that starts nothing, or that no > follows, is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.open = page, page.rfind(">"), set()
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """Where the first > outside quotes lies, -1 if there is none."""
+        seen = []
+        while m := _STOP.search(self.page, at):
+            i, c = m.start(), m[0]
+            if c == ">":
+                return i
+            seen.append(i)
+            # from some places of an opened quote it is known that no end follows
+            if i in self.open or i >= self.quotes[c]:
+                break
+            at = self.page.index(c, i + 1) + 1
+        self.open.update(seen)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        page, last = self.page, self.last
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, None, False, ""
+            if start > last:  # only a comment needs no >
+                at = start + 1
+                continue
+            if page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, None, False, ""
+            closing = page.startswith("</", start)
+            m = _NAME.match(page, start + 1 + closing)
+            if m:
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end + 1, m[0].lower(), closing, page[m.end() : end]
+                if (end := page.find(">", m.end())) >= 0:
+                    return start, end + 1, m[0].lower(), closing, ""
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The page's tags as a tree; a text is a (text, characters in links) pair between block tags."""
     root = Node("", "", False)
     stack, buf, linked, links = [root], [], 0, 0
-    articles = 0
+    articles, counts, tags = 0, Counter(), Tags(page)  # counts: open tags by name
 
     def flush() -> None:
         nonlocal linked
@@ -124,23 +174,23 @@ def parse(page: str) -> Node:
 
     def pop() -> None:
         nonlocal articles
-        articles -= stack.pop().tag in ARTICLES
+        tag = stack.pop().tag
+        articles -= tag in ARTICLES
+        counts[tag] -= 1
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        m = tags.after(at)
+        piece = page[at : m[0]] if m else page[at:]
         if piece:
             buf.append(piece)
             if links:
                 linked += len(piece)
         if not m:
             break
-        at = m.end()
-        tag = m[2] or m[5]
+        _, at, tag, closing, attrs = m
         if not tag:
             continue
-        tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or ""
         if tag in INLINE:
             if tag == "br":
                 buf.append(" ")
@@ -151,7 +201,7 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if counts[tag] else ():
                 if stack[k].tag == tag:
                     while len(stack) > k:
                         pop()
@@ -161,11 +211,11 @@ def parse(page: str) -> Node:
             links = 0
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, tags.last + 1)
             at = end.end() if end else n
             continue
         shut = SIBLINGS.get(tag, {"p"} if tag in BLOCK_ENDS_P else ())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(counts[x] for x in shut) or tag in BLOCK_ENDS_P and counts["p"] else ():
             if stack[k].tag in shut or "p" == stack[k].tag and tag in BLOCK_ENDS_P:
                 while len(stack) > k:
                     pop()
@@ -176,6 +226,7 @@ def parse(page: str) -> Node:
         node = Node(label, tag, bad)
         stack[-1].kids.append(node)
         stack.append(node)
+        counts[tag] += 1
         articles += tag in ARTICLES
         links = 0
     flush()
@@ -221,24 +272,43 @@ def fold(items: list[Item]) -> list[Item]:
             out[-1] = _merge(out[-1], x, True)
         else:
             out.append(x)
-    for size in range(2, GROUP + 1):
+    for size in periods([x.label for x in out]):
         i = 0
         while i + 2 * size <= len(out):
-            run = [x.label for x in out[i : i + size]]
-            times = 1
-            while [x.label for x in out[i + times * size : i + (times + 1) * size]] == run:
+            labels = [x.label for x in out]
+            same = np.array([a == b for a, b in zip(labels[i:], labels[i + size :], strict=False)])
+            # the first place from which size labels in a row recur size places on
+            runs = np.flatnonzero(np.convolve(same, np.ones(size, np.int64), "valid") == size) if len(same) >= size else []
+            if not len(runs):
+                break
+            i += int(runs[0])
+            run, times = labels[i : i + size], 2
+            while labels[i + times * size : i + (times + 1) * size] == run:
                 times += 1
-            if times > 1:
-                group = out[i : i + size]
-                for k in range(1, times):
-                    group = [_merge(a, b, True) for a, b in zip(group, out[i + k * size : i + (k + 1) * size], strict=True)]
-                whole = Item(f"({' '.join(run)})", kids=group)
-                whole.most = 2
-                out[i : i + times * size] = [whole]
+            group = out[i : i + size]
+            for k in range(1, times):
+                group = [_merge(a, b, True) for a, b in zip(group, out[i + k * size : i + (k + 1) * size], strict=True)]
+            whole = Item(f"({' '.join(run)})", kids=group)
+            whole.most = 2
+            out[i : i + times * size] = [whole]
             i += 1
     return out
 
 
+def periods(labels: list[str]) -> list[int]:
+    """Lengths, in order, that a repeated run may have: a run holds the label that is rarest in it, which recurs a length on.
+
+    The distances of equal labels that are one, two or three occurrences apart, at least 2.
+    """
+    at: dict[str, list[int]] = {}
+    found: set[int] = set()
+    for i, x in enumerate(labels):
+        held = at.setdefault(x, [])
+        found.update(i - j for j in held[-3:])
+        held.append(i)
+    return sorted(d for d in found if 2 <= d <= len(labels) // 2)
+
+
 def schema(node: Node) -> list[Item]:
     """A page as an expression of its own."""
     items = []
@@ -312,12 +382,24 @@ def _merge_row(a: Item, b: Item) -> Item:
 def infer(pages: list[str]) -> list[Item]:
     """The wrapper of pages, aligned one after the other."""
     out: list[Item] | None = None
-    for p in pages:
-        one = schema(parse(p))
-        out = one if out is None else align(out, one)
+    with nested():
+        for p in pages:
+            one = schema(parse(p))
+            out = one if out is None else align(out, one)
     return out or []
 
 
+@contextlib.contextmanager
+def nested():
+    """Tags may be nested to any depth: Python's limit on calls is lifted, which take no room on the machine's stack."""
+    most = sys.getrecursionlimit()
+    sys.setrecursionlimit(1 << 30)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(most)
+
+
 def expression(items: list[Item]) -> str:
     """A wrapper as a regular expression over tags; #text is a slot, other texts are quoted."""
     parts = []
@@ -502,7 +584,7 @@ def text_of(page: str | None, wrapper: Wrapper | None) -> str:
 
 
 class Side:
-    """A table (name, value) in the shared folder, cut into files by a hash of the name."""
+    """A table (name, value) in the shared folder, cut into files by a hash of the name; also files without names are written."""
 
     def __init__(self, folder: str, files: int = FILES):
         self.folder, self.files, self.held = folder, files, OrderedDict()
@@ -520,21 +602,20 @@ class Side:
             fs.create_dir(path, recursive=True)
             part = f"{path}/{uuid.uuid4().hex}.part"
             with fs.open_output_stream(part) as out:
-                pickle.dump({k: bytes(v) for k, v in zip(pdf["name"], pdf["value"], strict=True)}, out)
+                pickle.dump({k: bytes(v) for k, v in zip(pdf["name"], pdf["value"], strict=True) if k is not None}, out)
             fs.move(part, f"{path}/{int(pdf['file'].iloc[0])}")
             return pd.DataFrame({"file": pdf["file"].iloc[:1]})
 
-        df.withColumn("file", F.crc32("name") % self.files).groupBy("file").applyInPandas(put, "file long").count()
+        empty = df.sparkSession.range(self.files).select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("value"), F.col("id").alias("file"))
+        rows = df.select("name", "value", (F.crc32("name") % self.files).alias("file")).unionByName(empty)
+        rows.groupBy("file").applyInPandas(put, "file long").count()
 
     def get(self, name: str):
         file = zlib.crc32(name.encode()) % self.files
         if file not in self.held:
             fs, path = self._fs()
-            try:
-                with fs.open_input_stream(f"{path}/{file}") as f:
-                    self.held[file] = pickle.loads(f.read())
-            except FileNotFoundError:
-                self.held[file] = {}
+            with fs.open_input_stream(f"{path}/{file}") as f:  # every file is there: a missing one is a fault
+                self.held[file] = pickle.loads(f.read())
             if len(self.held) > 64:
                 self.held.popitem(last=False)
         value = self.held[file].get(name)
@@ -557,7 +638,8 @@ def _chosen(side: Side):
 def _infer(pdf: pd.DataFrame) -> pd.DataFrame:
     pages = pdf.drop_duplicates("h").sort_values("h")["html"].tolist()
     w = infer(pages)
-    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(vars(Wrapper(w)))], "expression": [expression(w)]})
+    with nested():
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "value": [pickle.dumps(vars(Wrapper(w)))], "expression": [expression(w)]})
 
 
 COUNTS = "name string, h long, slot long, chars long, linked long, least long, most long"

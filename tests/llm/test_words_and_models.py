@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -354,3 +355,43 @@ def test_bags_keep_multiplicity():
     h = np.array([1, 2, 3, 4, 5] * 3, np.uint64)
     doc, ids, weight = near_dup.bag(*near_dup.elements(h, np.array([0, 15])))
     assert Counter(weight.tolist()) == Counter([3, 2, 2, 2, 2])
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", '<a b=">" ', "<!x ", "</a ", "<!-- ", "<script ", "</script ", "<", "<p>x", "<x><h1>"])
+def test_broken_markup_of_any_size_is_read_in_linear_time(unit):
+    page = unit * (2_000_000 // len(unit)) + "<p>last</p>"
+    began = time.process_time()
+    H.parse(page)
+    assert time.process_time() - began < 15
+
+
+def test_tags_nested_deeper_than_any_limit():
+    page = "<div>" * 30_000 + "deep" + "</div>" * 30_000
+    w = H.Wrapper(H.infer([page, page.replace("deep", "other")]))
+    assert H.text_of(page, w) == "deep"
+
+
+def test_repeated_groups_of_any_length():
+    unit = "".join(f"<{t}>{{}}</{t}>" for t in "h2 p pre ul table dl blockquote figure h3".split())
+    items = H.infer(["<div>" + "".join(unit.format(*[f"{i} {k}" for k in range(9)]) for i in range(4)) + "</div>"])
+    assert H.expression(items).startswith("<div>(((<h2>#text</h2>)") and H.expression(items).endswith("))+</div>")
+    assert H.periods(list("abcabc")) == [3] and H.periods(list("aabaab")) == [2, 3]
+
+
+def test_pages_of_plain_divisions_need_the_wrapper():
+    """No article, no telling class or id: what repeats over a host's pages is told by its wrapper alone."""
+    def one(i):
+        body = "".join(f"<div>Sentence {k} of page {i} about {i * 7 + k}.</div>" for k in range(2 + i % 3))
+        return f"<div><div>Example Daily, all the news</div><div><a href=/>Home</a> <a href=/x>More</a></div><div><div>Title {i}</div>{body}</div><div>Printed by the Daily's printers</div></div>"
+
+    pages = [one(i) for i in range(12)]
+    w = H.Wrapper(H.infer(pages))
+    texts = Counter()
+    for p in pages:
+        texts.update({(slot, text) for slot, text, *_ in H.filled(p, w)})
+    slots_ = Counter(slot for slot, _ in texts)
+    w.template = {s for (s, _), n in texts.items() if slots_[s] == 1 and n >= 6}
+    w.links = {s for p in pages for s, text, linked, *_ in H.filled(p, w) if linked * 2 >= len(text)}
+    for i, p in enumerate(pages):
+        want = "\n".join([f"Title {i}", *(f"Sentence {k} of page {i} about {i * 7 + k}." for k in range(2 + i % 3))])
+        assert H.text_of(p, w) == want and H.text_of(p, None) != want
