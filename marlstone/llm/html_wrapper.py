@@ -2,10 +2,10 @@
 
 The pages of a host come from few templates. A page's token stream (tags with their class and id,
 and texts; inline tags don't count) is nested by its tags. The wrapper of a host is inferred by
-aligning the streams of a sample of its pages one after the other: equal tags match and their
-contents are aligned in turn; a tag that only one side has becomes an optional group; neighbours
-with equal tags, or equal runs of tags, become a repeated group; texts that differ become a text
-slot, equal ones stay part of the template. No alternatives arise, so the expression is
+aligning the streams of a sample of its pages one after the other: where the tags are the same one
+by one they match and their contents are aligned in turn. At a mismatch, neighbours with equal
+tags, or equal runs of tags, become a repeated group on both sides, and a tag that only one side
+has an optional group; texts that differ become a text slot, equal ones stay part of the template. No alternatives arise, so the expression is
 union-free and each slot is known by its path of tags.
 
 Each page's tags are then matched with its host's wrapper, from the outside in, placing as many as
@@ -237,14 +237,16 @@ class Item:
     """A part of a wrapper: a tag with its contents, a repeated group of tags, or a text.
 
     most: how often it occurs in a row (2: any number); least: 0 if optional. Texts: text is the
-    template's (None: a slot), with its size and linked characters over the pages seen.
+    template's (None: a slot), with its size and linked characters over the pages seen. folded:
+    whether repeated groups were looked for among its kids.
     """
 
-    __slots__ = ("label", "tag", "bad", "least", "most", "kids", "text", "chars", "linked", "pages")
+    __slots__ = ("label", "tag", "bad", "least", "most", "kids", "text", "chars", "linked", "pages", "folded")
 
     def __init__(self, label, tag="", bad=False, kids=(), text=None, chars=0, linked=0):
         self.label, self.tag, self.bad, self.kids = label, tag, bad, list(kids)
         self.least = self.most = self.pages = 1
+        self.folded = False
         self.text, self.chars, self.linked = text, chars, linked
 
 
@@ -260,10 +262,17 @@ def _merge(a: Item, b: Item, row: bool = False) -> Item:
         out.text = a.text if a.text == b.text else None
         out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
     else:
-        out.kids = align(a.kids, b.kids, row)
+        out.kids, out.folded = joined(a.kids, a.folded, b.kids, b.folded, row)
     return out
 
 
+def joined(a: list[Item], a_folded: bool, b: list[Item], b_folded: bool, row: bool) -> tuple[list[Item], bool]:
+    """One sequence for both: item by item while their labels agree, else aligned after folding."""
+    if not a_folded and not b_folded and [x.label for x in a] == [x.label for x in b]:
+        return [_merge_row(x, y) if row else _merge(x, y) for x, y in zip(a, b, strict=True)], False
+    return align(a if a_folded else fold(a), b if b_folded else fold(b), row), True
+
+
 def fold(items: list[Item]) -> list[Item]:
     """Neighbours with equal labels, then equal runs of labels, as repeated groups."""
     out: list[Item] = []
@@ -289,6 +298,7 @@ def fold(items: list[Item]) -> list[Item]:
             for k in range(1, times):
                 group = [_merge(a, b, True) for a, b in zip(group, out[i + k * size : i + (k + 1) * size], strict=True)]
             whole = Item(f"({' '.join(run)})", kids=group)
+            whole.folded = True
             whole.most = 2
             out[i : i + times * size] = [whole]
             i += 1
@@ -310,14 +320,17 @@ def periods(labels: list[str]) -> list[int]:
 
 
 def schema(node: Node) -> list[Item]:
-    """A page as an expression of its own."""
-    items = []
-    for k in node.kids:
-        if isinstance(k, tuple):
-            items.append(Item(TEXT, text=k[0], chars=len(k[0]), linked=k[1]))
-        else:
-            items.append(Item(k.label, k.tag, k.bad, schema(k)))
-    return fold(items)
+    """A page as an expression of its own, with the repeated groups that it shows alone."""
+    return fold(_items(node, schema))
+
+
+def listed(node: Node) -> list[Item]:
+    """A page's tags and texts as they come."""
+    return _items(node, listed)
+
+
+def _items(node: Node, inner) -> list[Item]:
+    return [Item(TEXT, text=k[0], chars=len(k[0]), linked=k[1]) if isinstance(k, tuple) else Item(k.label, k.tag, k.bad, inner(k)) for k in node.kids]
 
 
 def common(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
@@ -381,11 +394,11 @@ def _merge_row(a: Item, b: Item) -> Item:
 
 def infer(pages: list[str]) -> list[Item]:
     """The wrapper of pages, aligned one after the other."""
-    out: list[Item] | None = None
+    out, folded = None, False
     with nested():
         for p in pages:
-            one = schema(parse(p))
-            out = one if out is None else align(out, one)
+            one = listed(parse(p))
+            out, folded = (one, False) if out is None else joined(out, folded, one, False, False)
     return out or []
 
 

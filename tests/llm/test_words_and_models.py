@@ -373,7 +373,7 @@ def test_tags_nested_deeper_than_any_limit():
 
 def test_repeated_groups_of_any_length():
     unit = "".join(f"<{t}>{{}}</{t}>" for t in "h2 p pre ul table dl blockquote figure h3".split())
-    items = H.infer(["<div>" + "".join(unit.format(*[f"{i} {k}" for k in range(9)]) for i in range(4)) + "</div>"])
+    items = H.infer(["<div>" + "".join(unit.format(*[f"{i} {k}" for k in range(9)]) for i in range(n)) + "</div>" for n in (4, 5)])
     assert H.expression(items).startswith("<div>(((<h2>#text</h2>)") and H.expression(items).endswith("))+</div>")
     assert H.periods(list("abcabc")) == [3] and H.periods(list("aabaab")) == [2, 3]
 
