@@ -33,7 +33,7 @@ from marlstone.session import cut, scratch
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 

@@ -8,9 +8,11 @@ to shard p mod ``shards`` and slot p div ``shards``: the counts of two shards di
 most (law ``rows``), slots have no gaps, and place and row number can be computed from each other
 without a table. The key is read from ``seed``; equal texts are not kept together.
 
-Row numbers take no global sort: approximate quantiles of the key cut it into ranges, counts by
-range give each range's first number, and rows are numbered within ranges. The cuts decide only
-how work is spread; the numbers follow from the key order alone.
+For the row numbers, rows are dealt into ranges of the key and its ties (Spark samples the ranges;
+about ``RANGE_ROWS`` rows each, so a key on very many rows is cut as well), sorted and counted
+within each, and written with their place in the range; the counts give each range's first number. The
+ranges decide only how work is spread; the numbers follow from the order alone. Keys are of any
+type that can be ordered.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm import words as W
+from marlstone.session import cut
 
 SHARDS = 8
 SEED = 20240229
 ROUNDS = 6
-RANGE_ROWS = 1 << 16
-RANGES = (256, 4096)  # fewest and most ranges
+RANGE_ROWS = 1 << 14
 
 
 def keys(seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -65,49 +68,34 @@ def _permuter(seed: int):
     return f
 
 
-def numbered(docs: DataFrame, key: str, ties: list[Column], name: str = "__row", total: str = "__rows") -> DataFrame:
-    """docs with global row numbers by key (null first, then ties) and the number of rows.
-
-    One pass over the key for its quantiles, one for the counts by range, one shuffle of the rows.
-    """
-    spark = docs.sparkSession
-    n = docs.count()
-    ranges = int(min(max(n // RANGE_ROWS, RANGES[0]), RANGES[1]))
-    cuts = docs.select(F.percentile_approx(F.col(key), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # the range of a key: how many cuts are at most the key; a null key comes before all
-    at = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(_at(cuts)(F.col(key))) if cuts else F.when(F.col(key).isNull(), -1).otherwise(0)
-    counts = docs.select(at.cast("int").alias("__range")).groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # 4098 rows at most
-    first = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    order = Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first(), *ties)
-    ranged = docs.withColumn("__range", at.cast("int"))
-    return (
-        ranged.join(F.broadcast(first), "__range")
-        .withColumn(name, F.col("__first") + F.row_number().over(order) - 1)
-        .withColumn(total, F.lit(n).cast("long"))
-        .drop("__range", "__first")
-    )
-
+def _places(name: str):
+    """Arrow batches of one range, in order, with each row's place in it."""
 
-def _at(cuts: list[int]):
-    """How many of the sorted cuts (4095 at most) are at most a column: 64 branches, then 64 comparisons."""
+    def place(batches):
+        n = 0
+        for b in batches:
+            yield b.append_column(name, pa.array(np.arange(n, n + b.num_rows)))
+            n += b.num_rows
 
-    def build(col: Column, at: list[int], lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(at[mid]), build(col, at, lo, mid)).otherwise(build(col, at, mid + 1, hi))
+    return place
 
-    heads = cuts[63::64]
-    tails = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + 64]]) for i in range(0, len(cuts), 64)])
 
-    def at(col: Column) -> Column:
-        major = build(col, heads, 0, len(heads))
-        minor = F.size(F.filter(F.coalesce(F.get(tails, major), F.array().cast("array<bigint>")), lambda c: c <= col))
-        return major * 64 + minor
+def numbered(docs: DataFrame, key: str, ties: list[Column], name: str = "__row", total: str = "__rows", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """docs with global row numbers by key (null first, then ties) and the number of rows.
 
-    return at
+    One pass samples the ranges, one shuffles the rows and writes them with their places. Rows
+    equal in key and ties are interchangeable.
+    """
+    n = docs.count()
+    order = [F.col(key).asc_nulls_first(), *ties]
+    dealt = docs.repartitionByRange(max(1, -(-n // range_rows)), *order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    schema = T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())])
+    placed = cut(dealt.mapInArrow(_places(name), schema), "numbered", keep=True)
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    first = cut(counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")), "ranges", keep=True)
+    # 16 bytes a range: a megabyte for a thousand million rows
+    return placed.join(F.broadcast(first), "__range").withColumn(name, F.col(name) + F.col("__first")).withColumn(total, F.lit(n).cast("long")).drop("__range", "__first")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -224,6 +224,10 @@ def test_many_ranges_of_row_numbers(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 100003 - 50000).alias("doc_id"))
     got = sharding.numbered(df, "doc_id", []).collect()
     assert [r["__row"] for r in sorted(got, key=lambda r: r.doc_id)] == list(range(5000))
+    # one key on many rows is cut by its ties, and a key may be text
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("doc_id"), (F.col("id") * 31 % 3001).alias("tie"))
+    got = sharding.numbered(hot, "doc_id", [F.col("tie")], range_rows=100).collect()
+    assert [r["__row"] for r in sorted(got, key=lambda r: (r.doc_id, r.tie))] == list(range(3000))
 
 
 def test_urls(spark):
