@@ -8,10 +8,14 @@ exact length within each source, and the rest of the work is on those counts:
 2. from the longest length down, further documents while they fit, until at most ``reach``
    words remain;
 3. a bounded knapsack over the documents still left (binary splitting, one bit for each
-   reachable sum) picks the sum nearest to what remains (of two as near, the smaller).
+   reachable sum, 2 x ``reach`` bits) picks the sum nearest to what remains (of two as near, the
+   smaller). Where more than ``reach`` remains, all that fits is taken already, and the choice is
+   between nothing and the shortest document left.
 
-Documents are then selected seeded: within (source, length) by a hash of their id, as many as
-the count says. Groups are salted, so that one (source, length) may hold any share of the rows.
+Of each source a row and its distinct lengths meet in one task; documents never do.
+
+Documents are then selected seeded: within (source, length) by a hash of their id and text, as many
+as the count says. Groups are salted, so that one (source, length) may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -80,7 +84,11 @@ def fit(lengths: list[int], counts: list[int], budget: int, reach: int = REACH)
             more = min(counts[i] - take[i], (left - reach // 2) // lengths[i]) if lengths[i] <= reach // 2 else min(counts[i] - take[i], left // lengths[i])
             take[i] += more
             left -= more * lengths[i]
-    if left > 0:
+    if left > reach:
+        more = [i for i in order if 0 < lengths[i] and take[i] < counts[i]]
+        if more and lengths[more[-1]] - left < left:
+            take[more[-1]] += 1
+    elif left > 0:
         mask, reached, steps = (1 << (2 * left + 1)) - 1, 1, []  # more than left over is worse than nothing
         for i in order[::-1]:
             free, chunk = counts[i] - take[i], 1
@@ -125,13 +133,13 @@ def mixed(docs: DataFrame, source: str = "source", key: str = "doc_id", text: st
 
     ``__times`` is how often a document is in the mix; it takes __times x __size words. A null
     or empty text has size 0 and is never taken. A null source is a source of its own, the last.
-    Repeated rows count one each; rows with one id and length are interchangeable. An empty
+    Repeated rows count one each; rows with one id and text are interchangeable. An empty
     table gives an empty result.
     """
     n = docs.count()
     salts = max(1, n // SALT_ROWS)  # so that no salted group grows with the input
     columns = list(keep if keep is not None else docs.columns)
-    hashed = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    hashed = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))  # the text too: one id may be on many rows
     rows = docs.withColumns({"__size": size_of(text), "__h": hashed, "__src": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))})
     rows = rows.select(*columns, "__size", "__h", "__src", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(salts)).alias("__salt"))
     cells = rows.groupBy("__src", "__size", "__salt").agg(F.count("*").alias("__n"))

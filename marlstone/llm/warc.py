@@ -2,10 +2,12 @@
 
 Writing: each task streams its rows into one archive of gzip members, one member a record, on any
 file system that pyarrow opens by the URI of the shared folder. Files are written under a name of
-their own and renamed when whole, so a repeated task leaves one good file.
+their own and renamed when whole; the archives table names those of the tasks that counted, and a
+repeated task's other file is never read. A response's block is an HTTP response, head and
+payload; a revisit's is the head alone.
 
 Reading: archives become a table of (archive, record, chunk, ...) rows. A payload is read in
-pieces of ``chunk_bytes``; each row carries its piece, the payload's bytes and SHA-1 so far, and
+pieces of ``chunk`` bytes, without the block's HTTP head; each row carries its piece, the payload's bytes and SHA-1 so far, and
 whether it is the last. No step holds a whole record, however large. Anything computed over
 payloads takes chunks in order; the digest is that of the last row.
 
@@ -31,6 +33,7 @@ CHUNK = 1 << 20
 LEAST = 0  # bytes from which equal payloads are written once
 FIELDS = "archive string, record_no long, chunk_no long, warc_type string, record_id string, target_uri string, refers_to string, declared_digest string, last boolean, bytes_so_far long, digest_so_far string"
 CHUNKS = FIELDS + ", chunk binary"
+DATE = "2024-01-01T00:00:00Z"  # of records whose capture time isn't known
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the format
 
 
@@ -53,8 +56,8 @@ def _safe(s: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in s or "")
 
 
-def _writer(folder: str, chunk: int):
-    """Batches of (id, url, response, first, digest, body) to one archive; returns its path and records."""
+def _writer(folder: str, chunk: int, date: str):
+    """Batches of (id, url, response, first, digest, size, body) to one archive; returns its path and records."""
 
     def write(batches):
         out = fs = None
@@ -65,24 +68,25 @@ def _writer(folder: str, chunk: int):
                 fs.create_dir(path, recursive=True)
                 name = f"{path}/{uuid.uuid4().hex}.warc.gz"
                 out = fs.open_output_stream(f"{name}.part", compression=None)
-            ids, urls, responses, firsts, digests, body = (b.column(i) for i in range(6))
+            ids, urls, responses, firsts, digests, sizes, body = (b.column(i) for i in range(7))
             for i in range(b.num_rows):
                 key, response = ids[i].as_py(), responses[i].as_py()
                 data = body[i].as_buffer() if response and body[i].is_valid else pa.py_buffer(b"")
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {sizes[i].as_py()}\r\n\r\n".encode()
                 head = [
                     "WARC/1.1",
                     f"WARC-Type: {'response' if response else 'revisit'}",
                     f"WARC-Record-ID: {record_id(key)}",
                     f"WARC-Target-URI: {_safe(urls[i].as_py())}",
-                    "WARC-Date: 2024-01-01T00:00:00Z",
+                    f"WARC-Date: {date}",
                     f"WARC-Payload-Digest: sha1:{base32(bytes.fromhex(digests[i].as_py()))}",
                     f"X-Record-Key: {key}",
                 ]
                 if not response:
                     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(firsts[i].as_py())}", f"X-Refers-To-Key: {firsts[i].as_py()}"]
-                head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {data.size}"]
+                head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block) + data.size}"]
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)  # a gzip member of its own
-                out.write(z.compress(("\r\n".join(head) + "\r\n\r\n").encode()))
+                out.write(z.compress(("\r\n".join(head) + "\r\n\r\n").encode() + block))
                 for at in range(0, data.size, chunk):
                     out.write(z.compress(memoryview(data)[at : at + chunk]))
                 out.write(z.compress(b"\r\n\r\n"))
@@ -96,7 +100,7 @@ def _writer(folder: str, chunk: int):
     return write
 
 
-def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST, chunk: int = CHUNK, date: str = DATE) -> DataFrame:
     """Archives of all rows in folder; returns (archive, records). body: text, written as UTF-8, or binary. Null: empty.
 
     Payloads of fewer than least bytes are all responses. Rows that agree in key and payload are
@@ -108,8 +112,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     small = F.octet_length("p") < least
     rows = rows.join(first, "d").withColumn("r", small | F.col("k").eqNullSafe(F.col("first")))
     # a revisit's payload needn't travel to Python
-    rows = rows.select("k", "u", "r", "first", "d", F.when(F.col("r"), F.col("p")).alias("p"))
-    return cut(rows.mapInArrow(_writer(folder, chunk), "archive string, records long"), "archives")
+    rows = rows.select("k", "u", "r", "first", "d", F.octet_length("p").alias("n"), F.when(F.col("r"), F.col("p")).alias("p"))
+    return cut(rows.mapInArrow(_writer(folder, chunk, date), "archive string, records long"), "archives")
 
 
 class _Members:
@@ -155,6 +159,10 @@ def records(raw, chunk: int = CHUNK):
     while (head := m.until(b"\r\n\r\n")) is not None:
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n") if ": " in x)
         left, done, sha, k = int(fields["Content-Length"]), 0, hashlib.sha1(), 0
+        if fields.get("Content-Type", "").startswith("application/http"):
+            if (http := m.until(b"\r\n\r\n")) is None:
+                raise ValueError(f"record {no} ends early")
+            left -= len(http) + 4
         while True:
             piece = b""
             while left and len(piece) < chunk:

@@ -395,3 +395,10 @@ def test_pages_of_plain_divisions_need_the_wrapper():
     for i, p in enumerate(pages):
         want = "\n".join([f"Title {i}", *(f"Sentence {k} of page {i} about {i * 7 + k}." for k in range(2 + i % 3))])
         assert H.text_of(p, w) == want and H.text_of(p, None) != want
+
+
+def test_what_remains_of_a_budget_beyond_the_reach():
+    """Few very long documents: nothing shorter is left, and the nearer of none and one more is taken."""
+    assert mixing.fit([10, 10**9], [3, 2], 10**9 + 30, 100) == [3, 1]
+    assert mixing.fit([10, 10**9], [3, 2], 10**9 - 5000, 100) == [3, 1]
+    assert mixing.fit([10, 10**9], [3, 2], 4 * 10**8, 100) == [3, 0]
