@@ -81,6 +81,16 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(h, 0) as bigint) n_
 from doc left join hit using (r) left join its using (r)
 """
 
+# SHA-1 as 40 hex digits, each five of them four base32 letters
+ORACLES["op6_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b) n, sha1(b) h, max(page_id) over (partition by sha1(b)) first from p),
+v as (select *, list_transform(range(8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::integer) v from h)
+select page_id, cast(n as bigint) payload_bytes,
+  array_to_string(flatten(list_transform(v, lambda x: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> s) % 32 + 1, 1)))), '') payload_digest,
+  case when page_id is not distinct from first then 'response' else 'revisit' end record_type, case when page_id is distinct from first then first end refers_to from v
+"""
+
 ORACLES["op9_top_k"] = """
 with v as (select vec_id, list_transform(embedding, lambda c: floor(256 * cast(c as double))) v, len(embedding) n from embeddings
            where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
