@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm import words as W
 from marlstone.llm.components import components
@@ -294,8 +295,8 @@ def _placed(signed: DataFrame, roots: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of docs for each class, the one with the smallest key, columns unchanged.
 
-    Rows that agree in key and text are one document; of repeated rows one is kept. All rows
-    without words are kept.
+    Rows that agree in key and text are one document; of repeated rows one is kept (the smallest
+    hash of its columns). All rows without words are kept.
     """
     found = classes(docs, key, text, **how)
     # rows without words stay with all their copies
@@ -305,5 +306,6 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Dat
     keyed = lambda df, k, t: df.withColumns({"__t": F.coalesce(t, F.lit(0)), "__k": F.coalesce(k, F.lit(0)), "__none": k.isNull()})
     wanted = keyed(first.unionByName(wordless), F.col("k"), F.col("t")).select(*on, "__all")
     rows = keyed(docs, F.col(key), F.xxhash64(F.col(text)))
-    out = rows.join(wanted, on).withColumn("__copy", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))))
+    told = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    out = rows.join(wanted, on).withColumn("__copy", F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in told]))))
     return out.where("__all or __copy = 1").select(*docs.columns)

@@ -188,13 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           sample: dict | None = None, sample_bytes: int = SAMPLE_BYTES) -> Ordinal:
     """Learn from at most sample labelled rows of each class and sample_bytes of their text.
 
+    Repeated label rows count once; a key with both labels has both.
+
     Labels and documents meet by key; null keys, labels and texts are left out. Fails where a class
     has texts but each alone is beyond the bytes of its class (see fitting).
     """
     sample = sample or SAMPLE
     extra = [F.col(grade).cast("int").alias("__g")] if grade else [F.lit(0).alias("__g")]
     h = F.xxhash64(F.lit(11), F.col(key).cast("string"))
-    marks = labels.select(F.col(key), (F.col(toxic) > 0).alias("__t"), *extra).where(F.col("__t").isNotNull() & F.col(key).isNotNull()).withColumn("__h", h)
+    marks = labels.select(F.col(key), (F.col(toxic) > 0).alias("__t"), *extra).where(F.col("__t").isNotNull() & F.col(key).isNotNull()).distinct().withColumn("__h", h)
     part = [marks.where(F.col("__t") == t).orderBy("__h", key, "__g").limit(n) for t, n in ((True, sample["toxic"]), (False, sample["clean"]))]
     picked = part[0].unionByName(part[1])
     found = docs.select(key, F.col(text).alias("__x")).where(F.col("__x").isNotNull()).join(F.broadcast(picked), key).select("__x", "__t", "__g", "__h")
