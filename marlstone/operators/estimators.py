@@ -176,12 +176,19 @@ def logistic_set(labelled: DataFrame, unlabelled: DataFrame, y: str, f: str, x:
     """Coefficients (t0, t1) of grid that a prediction-powered confidence set of the logistic slope keeps.
 
     For x_j in (1, x): the mean over unlabelled of x_j (sigmoid(t0 + t1 x) - f), plus the rectifier
-    mean of x_j (f - y), has to lie within z standard errors of 0. grid is a stated parameter
-    table; each of its rows meets all unlabelled rows, combined map-side.
+    mean of x_j (f - y), has to lie within z standard errors of 0. Unlabelled rows are counted by
+    (x, f) first; grid is a stated parameter table, whose rows meet those counts.
     """
     X = F.col(x)
     p = 1 / (1 + F.exp(-(F.col("t0") + F.col("t1") * X))) - F.col(f)
-    m = F.broadcast(grid).crossJoin(unlabelled.select(x, f)).groupBy("t0", "t1").agg(F.avg(p).alias("m0"), F.avg(p * X).alias("m1"), F.var_samp(p).alias("v0"), F.var_samp(p * X).alias("v1"), F.count("*").alias("nn"))
+    counts = unlabelled.where(X.isNotNull() & F.col(f).isNotNull()).groupBy(x, f).agg(F.count("*").alias("__c"))
+    C, sums = F.col("__c"), {}
+    for j, v in enumerate((p, p * X)):
+        sums |= {f"s{j}": F.sum(C * v), f"q{j}": F.sum(C * v * v)}
+    m = F.broadcast(grid).crossJoin(counts).groupBy("t0", "t1").agg(F.sum(C).alias("nn"), *[v.alias(k) for k, v in sums.items()])
+    for j in (0, 1):
+        mean = F.col(f"s{j}") / F.col("nn")
+        m = m.withColumn(f"m{j}", mean).withColumn(f"v{j}", (F.col(f"q{j}") - F.col("nn") * mean * mean) / (F.col("nn") - 1))
     e = F.col(f) - F.col(y)
     r = labelled.agg(F.avg(e).alias("r0"), F.avg(e * X).alias("r1"), F.var_samp(e).alias("w0"), F.var_samp(e * X).alias("w1"), F.count("*").alias("n"))
     ok = [F.abs(F.col(f"m{j}") + F.col(f"r{j}")) <= z * F.sqrt(F.col(f"v{j}") / F.col("nn") + F.col(f"w{j}") / F.col("n")) for j in (0, 1)]

@@ -190,8 +190,8 @@ def rejected_records(spark, d):
 @_query("country_extraction", """select c_custkey, n_name country from customer join nation on n_nationkey = c_nationkey where c_custkey % 7 <> 0 union all select c_custkey, null from customer where c_custkey % 7 = 0""")
 def country_extraction(spark, d):
     """The country that a sentence names, as a schema-constrained record; null where none is known."""
-    names = [r[0] for r in table(spark, d, "nation").select("n_name").orderBy(F.length("n_name").desc(), "n_name").limit(100).collect()]  # a country list
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation").limit(100)), F.col("c_nationkey") == F.col("n_nationkey"))
+    names = [r[0] for r in table(spark, d, "nation").select("n_name").orderBy(F.length("n_name").desc(), "n_name").collect()]  # the list of countries
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     said = F.concat(F.lit("Our client "), "c_name", F.lit(" moved to "), F.when(F.col("c_custkey") % 7 != 0, F.col("n_name")).otherwise("Atlantis"), F.lit(" last year."))
     provider = X.pattern_provider(r"\b(" + "|".join(names) + r")\b", ["country"])
     out = X.extracted(c.select("c_custkey", said.alias("t")), "t", provider, "country string", [V.one_of("country", names)], "c_custkey")
