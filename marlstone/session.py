@@ -121,13 +121,20 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+FILE_ROWS = 1 << 16
+
+
+def cut(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read back.
 
     Lost executors then cost no recomputation of what lies before the cut, and everything
     after it sees one and the same set of rows. With keep the table outlives the innermost scope.
+    Where the number of rows is known (or a bound of it), a small table is written as few files,
+    eight at least and one for each FILE_ROWS rows, however many partitions it comes in.
     """
     spark = df.sparkSession
     path = scratch(spark, name, keep)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
