@@ -21,7 +21,7 @@ its smallest node with the others; then, in rounds, components are formed and
 * a bucket whose nodes are all connected is done;
 * a node goes from a bucket in which it can't have a partner: an overlap is at most the number of
   its elements that any other remaining node has too, which one count of all elements bounds;
-* the others compare a few pivots (four times as many each round) with the nodes of other
+* the others compare a few pivots (eight times as many each round) with the nodes of other
   components that the same bound and that on lengths allow; the pivots are done then.
 
 So every pair of a bucket is compared, connected otherwise or too different by an exact bound, and
@@ -48,7 +48,8 @@ from marlstone.session import cut, scope
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 THRESHOLD = (4, 5)
-PIVOTS = 4
+PIVOTS = 16
+GROWTH = 8  # of the pivots from round to round
 UNIT = 2.0**32  # of a point's time
 NONE = np.iinfo(np.int64).max  # the time of a register that no point has reached
 SIGNATURE = "node binary, n long, bands array<long>"
@@ -180,12 +181,13 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, bands: int, rows:
     links = _links(members.where("node <> least"), bags, threshold)
     roots = components(links)
     live = members.where("node <> least and c > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    n = None  # rows of the open buckets
     while True:
-        rest = _open(live)
-        if rest.isEmpty():
+        rest = _open(live, n)
+        if not (n := rest.count()):
             return _placed(signed, roots)
         bags = cut(bags.hint("merge").join(rest.select("node").distinct(), "node", "left_semi"), "bags")
-        rest = _possible(rest, bags, threshold)
+        rest = _possible(rest, bags, threshold, n)
         rest = rest.withColumn("chosen", (F.col("c") <= pivots) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / pivots)) == 0))
         links = cut(_verified(_pairs(rest, threshold), bags, threshold, "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
         live = rest.where("not chosen").select("bucket", "node", "n", "root")
@@ -193,12 +195,12 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, bands: int, rows:
             up = components(links).select(F.col("node").alias("root"), F.col("root").alias("__up"))
             alone = up.select(F.col("root").alias("node"), "root")
             roots = _raised(roots.unionByName(alone).distinct(), up)
-            live = _raised(live, up)
-        pivots *= 4
+            live = _raised(live, up, n)
+        pivots *= GROWTH
 
 
-def _raised(df: DataFrame, up: DataFrame) -> DataFrame:
-    return cut(df.join(up, "root", "left").withColumn("root", F.coalesce("__up", "root")).drop("__up"), "raised")
+def _raised(df: DataFrame, up: DataFrame, rows: int | None = None) -> DataFrame:
+    return cut(df.join(up, "root", "left").withColumn("root", F.coalesce("__up", "root")).drop("__up"), "raised", rows=rows)
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -248,13 +250,13 @@ def _links(members: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> D
     return cut(_verified(pairs, bags, threshold), "links")
 
 
-def _open(live: DataFrame) -> DataFrame:
+def _open(live: DataFrame, rows: int | None) -> DataFrame:
     """The rows of buckets with nodes of several components, with the number of rows and the smallest bag."""
     many = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least_n")).where("lo <> hi")
-    return cut(live.join(cut(many.drop("lo", "hi"), "open"), "bucket"), "rest")
+    return cut(live.join(cut(many.drop("lo", "hi"), "open", rows=rows), "bucket"), "rest", rows=rows)
 
 
-def _possible(rest: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _possible(rest: DataFrame, bags: DataFrame, threshold: tuple[int, int], rows: int) -> DataFrame:
     """(bucket, node, n, root, most, buckets, c): rest without the rows that can't have a partner.
 
     ``most``: the elements a node shares with any other at most; ``buckets``: all of the node's;
@@ -262,11 +264,11 @@ def _possible(rest: DataFrame, bags: DataFrame, threshold: tuple[int, int]) -> D
     """
     tokens = bags.select("node", F.explode("bag").alias("e"))
     own = tokens.groupBy("e").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own")
+    own = cut(own.groupBy("node").agg(F.count("*").alias("own")), "own", rows=rows)
     found = rest.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    found = cut(found.where(_alike(F.col("most"), "n", "least_n", threshold)).select("bucket", "node", "n", "root", "c", "most"), "possible")
+    found = cut(found.where(_alike(F.col("most"), "n", "least_n", threshold)).select("bucket", "node", "n", "root", "c", "most"), "possible", rows=rows)
     lists = found.groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.max("c").alias("c"))  # one bucket a band at most
-    return cut(found.drop("c").join(lists, "node"), "possible")
+    return cut(found.drop("c").join(lists, "node"), "possible", rows=rows)
 
 
 def _pairs(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
