@@ -85,14 +85,16 @@ def entropies(df: DataFrame, ctx: str, p: str, q: str) -> DataFrame:
 def attention(items: DataFrame, seq: str, pos: str, q: str, k: str, v: str, keys: DataFrame | None = None) -> DataFrame:
     """Self attention of each sequence: softmax over its positions of q.k, times v. keys: another table (cross).
 
-    Positions of one sequence meet by an equality join on the sequence. There is no scaling.
+    Positions of one sequence meet by an equality join on the sequence. There is no scaling. Null keys and values add
+    nothing; a position that meets no value at all has an empty y.
     """
     other = (keys if keys is not None else items).select(seq, F.col(pos).alias("__j"), F.col(k).alias("__k"), F.col(v).alias("__v"))
     dot = F.aggregate(F.zip_with(q, "__k", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = items.select(seq, pos, q).join(other, seq).withColumn("__z", dot).withColumn("__c", F.struct(seq, pos))
     w = softmax(scored, "__c", "__z", out="__w")
-    parts = w.select(seq, pos, "__w", F.posexplode("__v").alias("d", "x")).groupBy(seq, pos, "d").agg(F.sum(F.col("__w") * F.col("x")).alias("y"))
-    return parts.groupBy(seq, pos).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "y"))), lambda s: s["y"]).alias("y"))
+    parts = w.select(seq, pos, "__w", F.posexplode_outer("__v").alias("d", "x")).groupBy(seq, pos, "d").agg(F.sum(F.col("__w") * F.col("x")).alias("y"))
+    known = F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "y")))
+    return parts.groupBy(seq, pos).agg(F.transform(F.array_sort(known), lambda s: s["y"]).alias("y"))
 
 
 def matvec(rows: list[list[float]], x: Column) -> Column:

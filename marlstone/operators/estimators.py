@@ -6,7 +6,7 @@ once each, combined map-side, and only one-row results meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.96
@@ -17,6 +17,16 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def sql_round(x: Column, digits: int) -> Column:
+    """A double rounded as the SQL side does it: scaled, to the next whole number (halves away from 0), scaled back.
+
+    The sign stays where nothing else does (-0.0), which F.round turns into 0.0. Doubles too large to be scaled stay as they are.
+    """
+    scale = F.lit(10.0**digits)
+    scaled = F.abs(x) * scale
+    return F.when(scaled == float("inf"), x).otherwise(F.signum(x) * F.round(scaled) / scale)
+
+
 def ppi_mean(labelled: DataFrame, unlabelled: DataFrame, y: str, f: str, z: float = Z95, by: str | None = None) -> DataFrame:
     """Mean of y by classical and by prediction-powered inference, with intervals.
 

@@ -5,12 +5,14 @@ import math
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import strings
 from marlstone.operators import conformal, dag, dp, graph, sampling
 from marlstone.operators import estimators as E
+from marlstone.plans import models
 from marlstone.session import cut, scope
 
 
@@ -128,3 +130,29 @@ def test_uniform_draws_and_weights(spark):
     got = {r.g: r.w for r in E.design_weights(pop, pop.where("id < 30"), ["g"]).collect()}
     assert got == {0: 3.4, 1: 3.3, 2: 3.3}
     assert {r.w for r in E.design_weights(pop, pop.where("id < 25")).collect()} == {4.0}
+
+
+def bits(rows):
+    """Rows as sorted text, which tells -0.0 from 0.0."""
+    return sorted(repr(tuple(r)) for r in rows)
+
+
+@pytest.mark.parametrize("ids", [range(12), range(-7, 5), range(2**62, 2**62 + 12)])
+def test_attention_equals_its_sql_bit_by_bit(spark, tmp_path, ids):
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1e-7) for _ in range(64)] for _ in range(10)] + [None, None]
+    rows = [(i, v) for i, v in zip(ids, vectors, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(models.ORACLES["attention"]).fetchall()
+    assert any(math.copysign(1, x) < 0 for r in want for x in r[2] if x == 0)  # negatives that round to nothing
+    assert bits(models.QUERIES["attention"](spark, str(tmp_path)).collect()) == bits(want)
+
+
+def test_rounding_as_in_sql(spark):
+    x = [0.0, -0.0, 4e-8, -4e-8, 5e-8, -5e-8, 0.12345675, -0.12345675, 2.5, -1e300, 1e305, -1e305, math.inf, -math.inf, math.nan, None]
+    x += [random.Random(i).gauss(0, 1e-6) for i in range(500)]
+    got = spark.createDataFrame(list(enumerate(x)), "i int, x double").select("i", E.sql_round(F.col("x"), 7)).orderBy("i").collect()
+    con = duckdb.connect()
+    assert [repr(r[1]) for r in got] == [repr(con.execute("select round(cast(? as double), 7)", [v]).fetchone()[0]) for v in x]
